@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         store, file = fs.FileSystem.from_uri(name)
         store.create_dir(file.rpartition("/")[0], recursive=True)
         encoder, n = Encoder.of(tokenizer), 0
-        with store.open_output_stream(file) as out:
+        with store.open_output_stream(file, compression=None) as out:
             to = Writer(out, block, planes)
             for batch in batches:
                 for part in slices(batch, "t"):

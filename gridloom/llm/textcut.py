@@ -22,13 +22,14 @@ _CLASS[97:123] |= _LETTER
 _CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] |= _LEAD
 
 
-def cut(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
+def cut(texts: pa.StringArray, words: bool = False) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
     """Codes of all chunks, the distinct chunks, each text's first chunk (and the end), odd texts.
 
     Cuts lie before a single blank between two other signs, and between a letter A-Z and a
     punctuation mark. Texts with white space outside ASCII or with ``<|`` (which may start a
     special token) are listed as odd: their chunks must not be used for tokenizing.
-    Null counts as empty; an empty text has no chunk.
+    Null counts as empty; an empty text has no chunk. With ``words``, cuts lie between ASCII blanks
+    and other signs instead, so each chunk is a word or a run of blanks.
     """
     texts = strings(texts)
     n = len(texts)
@@ -44,7 +45,11 @@ def cut(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray,
     kind = _CLASS[raw]
     at = np.zeros(len(raw) + 1, bool)
     white = (kind & _WHITE).astype(bool)
-    at[1:-2] = ((kind[1:-1] & _CUT) != 0) & ~white[:-2] & ~white[2:]
+    if words:
+        white &= (raw < 28) | (raw == 32)
+        at[1:-1] = white[1:] != white[:-1]
+        kind = kind & 0
+    at[1:-2] |= ((kind[1:-1] & _CUT) != 0) & ~white[:-2] & ~white[2:]
     at[1:-1] |= ((kind[1:] & _PUNCT) != 0) & ((kind[:-1] & _LETTER) != 0)
     at[ends] = True
     cuts = np.flatnonzero(at)
