@@ -1,11 +1,314 @@
-"""The registered queries."""
+"""The registered queries: one or more for each operator, over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.functions.exprs import in_section, linear_index, local_index, rank_of
+from gridloom.operators import mapreduce as M
+from gridloom.operators import rows as R
+from gridloom.operators.grid import Section, grid, splits
+from gridloom.operators.reducers import Collect, Concat, Elementwise, Flip, Fold, Max, MergeMaps, Min, Product, Sum, stack_arrays
+from gridloom.operators.tree import topology
+from gridloom.plans.oracles import SQL
+from gridloom.sources.ranks import read_grid
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+# -- map-reduce of rows ---------------------------------------------------------------------------
+
+
+@query
+def mr_sum_squares(spark, sf_dir):
+    return M.aggregate(table(spark, sf_dir, "orders"), F.col("o_custkey") * F.col("o_custkey"), Sum, name="s")
+
+
+@query
+def mr_sum_init(spark, sf_dir):
+    return M.aggregate(table(spark, sf_dir, "orders"), F.col("o_custkey") * F.col("o_custkey"), Sum, init=100, name="s").select(F.col("s").cast("long").alias("s"))
+
+
+@query
+def mr_min_max(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.agg(Min.column(F.col("o_custkey")).alias("mn"), Max.column(F.col("o_custkey")).alias("mx"))
+
+
+@query
+def mr_zip_dot(spark, sf_dir):
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    pairs = R.zip_rows([(orders.select("o_orderkey", "o_custkey"), ["o_orderkey"]), (customer.select("c_custkey", "c_nationkey"), ["c_custkey"])])
+    return pairs.agg(F.sum(F.col("o_custkey") * F.col("c_nationkey")).alias("s"), F.count("*").alias("n"))
+
+
+@query
+def mr_merge_last_wins(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return M.map_reduce(orders, F.col("o_orderpriority"), MergeMaps(), ["o_orderkey"], key=F.col("o_custkey"), name="v").withColumnRenamed("key", "o_custkey")
+
+
+@query
+def mr_concat_ordered(spark, sf_dir):
+    return M.map_reduce(table(spark, sf_dir, "nation"), F.col("n_name"), Concat(separator="|"), ["n_nationkey"], name="s")
+
+
+@query
+def mr_concat_flip(spark, sf_dir):
+    return M.map_reduce(table(spark, sf_dir, "nation"), F.col("n_name"), Flip(Concat(separator="|")), ["n_nationkey"], name="s")
+
+
+@query
+def mr_collect_ordered(spark, sf_dir):
+    """Values appended in order, shown as text."""
+    made = M.map_reduce(table(spark, sf_dir, "nation"), F.col("n_regionkey"), Collect(), ["n_nationkey"], name="a")
+    return made.select(F.array_join("a", ",").alias("s"))
+
+
+@query
+def mr_fold_ordered(spark, sf_dir):
+    """An opaque Python operator that isn't commutative: texts joined, folded in order."""
+    made = M.map_reduce(table(spark, sf_dir, "nation"), F.col("n_name"), Fold(function=_joined), ["n_nationkey"], name="s")
+    return made.mapInArrow(_unpickled, "s string")
+
+
+def _joined(a: str, b: str) -> str:
+    return f"{a}|{b}"
+
+
+def _unpickled(batches):
+    import pickle
+
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"s": pa.array([pickle.loads(x) for x in batch.column(0).to_pylist()], pa.string())})
+
+
+@query
+def batch_map_ordered(spark, sf_dir):
+    return M.map_batch(table(spark, sf_dir, "orders"), ["o_orderkey"], 2 * F.col("o_custkey") + 1, "v")
+
+
+# -- splits of rows -------------------------------------------------------------------------------
+
+
+@query
+def split_rank_totals(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    return M.section_rows(orders, ["o_orderkey"], 7, n=F.count("*"), cents=F.sum("c"), lo=F.min("o_orderkey"), hi=F.max("o_orderkey"))
+
+
+@query
+def split_lineitem_totals(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, F.col("l_quantity").cast("long").alias("qty"))
+    return M.section_rows(lines, LINEITEM_KEY, 16, n=F.count("*"), q=F.sum("qty"))
+
+
+@query
+def split_local_index(spark, sf_dir):
+    return R.with_rank(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 7, "r", "i").select("r", "i", "o_orderkey")
+
+
+@query
+def split_recast(spark, sf_dir):
+    return R.recast_ranks(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 5, 10).withColumnRenamed("rank", "r5")
+
+
+@query
+def split_more_ranks_than_rows(spark, sf_dir):
+    return R.with_rank(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), ["r_regionkey"], 8).select("r", "r_name")
+
+
+@query
+def halve_floor(spark, sf_dir):
+    halves = R.halve_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"])
+    return halves.groupBy("side").agg(F.count("*").alias("c"), F.min("n_name").alias("mn"))
+
+
+@query
+def zip_slice(spark, sf_dir):
+    return R.slice_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 8, 7, "rn").select("rn", "n_name")
+
+
+@query
+def batch_sections_one_row_per_rank(spark, sf_dir):
+    return M.section_rows(table(spark, sf_dir, "events").select("event_id"), ["event_id"], 6, n=F.count("*"))
+
+
+# -- grids ----------------------------------------------------------------------------------------
+
+_CUBE = (range(1, 6), range(2, 5), range(1, 4))
+
+
+def _ranked(section: Section, spark: SparkSession, np: int) -> DataFrame:
+    points = section.to_df(spark, idx="idx")
+    return points.withColumns({"r": rank_of(F.col("idx"), section.grid_size, np), "i": local_index(F.col("idx"), section.grid_size, np)})
+
+
+@query
+def grid_product(spark, sf_dir):
+    return grid(*_CUBE).to_df(spark)
+
+
+@query
+def grid_section(spark, sf_dir):
+    return Section(_CUBE, 5, 11).to_df(spark, idx="idx")
+
+
+@query
+def grid_rank_and_local_index(spark, sf_dir):
+    return _ranked(grid(*_CUBE), spark, 7).select("i1", "i2", "i3", "r", "i")
+
+
+@query
+def grid_source_partitions(spark, sf_dir):
+    """The same split as physical partitions of the grid source."""
+    return read_grid(spark, "1:5, 2:4, 1:3", 7).select("i1", "i2", "i3", F.col("rank").alias("r"))
+
+
+@query
+def grid_rank_lookup(spark, sf_dir):
+    whole = grid(range(1, 6), range(2, 5))
+    idx = linear_index([F.col("o_orderkey") % 7 + 1, F.col("o_custkey") % 4 + 1], whole.axes)
+    return table(spark, sf_dir, "orders").select("o_orderkey", rank_of(idx, whole.grid_size, 7).alias("r"))
+
+
+@query
+def grid_linear_index(spark, sf_dir):
+    whole = grid(range(1, 5), range(2, 9, 3))
+    return whole.to_df(spark).withColumn("idx", linear_index([F.col("i1"), F.col("i2")], whole.axes))
+
+
+@query
+def grid_membership_count(spark, sf_dir):
+    section = Section((range(1, 6), range(2, 5)), 4, 11)
+    idx = linear_index([F.col("o_orderkey") % 7 + 1, F.col("o_custkey") % 4 + 1], section.axes)
+    return table(spark, sf_dir, "orders").filter(in_section(idx, section)).agg(F.count("*").alias("n"))
+
+
+@query
+def grid_extrema_by_rank(spark, sf_dir):
+    names = {f"{n}{d}": (lambda s, d=d, k=k: s.extrema(d)[k]) for d in (1, 2, 3) for k, n in enumerate(("mn", "mx"))}
+    return M.section_table(spark, _CUBE, 7, **names).withColumnRenamed("rank", "r")
+
+
+@query
+def grid_nelements_by_rank(spark, sf_dir):
+    names = {f"d{d}": (lambda s, d=d: s.n_distinct(d)) for d in (1, 2, 3)}
+    return M.section_table(spark, (range(1, 6), range(1, 3), range(1, 4)), 4, **names).withColumnRenamed("rank", "r")
+
+
+@query
+def grid_extrema_common_last_dim(spark, sf_dir):
+    axes = (range(1, 4), range(4, 8), range(2, 8))
+    rows = []
+    for s in splits(axes, 10):
+        low, high = s.extrema_common_last()
+        rows.append((s.rank, low[0][1], high[0][1], low[0][0], low[1][0], high[0][0], high[1][0]))
+    return spark.createDataFrame(rows, "r long, lo long, hi long, mn1 long, mn2 long, mx1 long, mx2 long")
+
+
+@query
+def grid_drop_leading(spark, sf_dir):
+    tails = [(s.rank, *p) for s in splits(_CUBE, 7) for p in s.drop_leading()]
+    return spark.createDataFrame(tails, "r long, i2 long, i3 long")
+
+
+@query
+def grid_recast_by_rank(spark, sf_dir):
+    """The ranks of a split into 10 on which each section of a split into 5 falls."""
+    return M.section_table(spark, _CUBE, 5, lo=lambda s: s.recast(10)[0], hi=lambda s: s.recast(10)[-1]).withColumnRenamed("rank", "r")
+
+
+@query
+def grid_stepped_axis(spark, sf_dir):
+    return _ranked(grid(range(1, 10, 2), range(4, 7)), spark, 4).select("i1", "i2", "r")
+
+
+@query
+def grid_float_axis(spark, sf_dir):
+    return _ranked(grid((1.0, 0.5, 3.0), range(2, 5)), spark, 4).select("i1", "i2", "r")
+
+
+@query
+def mr_grid_sum(spark, sf_dir):
+    points = grid(range(1, 11), range(2, 21, 2)).to_df(spark)
+    return M.aggregate(points, F.col("i1") * F.col("i2"), Sum, name="s")
+
+
+@query
+def section_batch_sum(spark, sf_dir):
+    whole = grid(range(1, 11), range(1, 11))
+    return _ranked(whole, spark, 4).groupBy("r").agg(F.sum(F.col("i1") + F.col("i2")).alias("s"))
+
+
+@query
+def section_reduce_with_init(spark, sf_dir):
+    by = M.section_table(spark, (range(1, 11),), 4, m=lambda s: s.maximum(1))
+    return M.aggregate(by, F.col("m"), Sum, init=100, name="s").select(F.col("s").cast("long").alias("s"))
+
+
+# -- arrays ---------------------------------------------------------------------------------------
+
+
+@query
+def ew_sum_min_max(spark, sf_dir):
+    made = Elementwise().reduce_many(table(spark, sf_dir, "embeddings"), "embedding", {"s": Sum, "mn": Min, "mx": Max})
+    return made.withColumn("s", F.round("s", 3))
+
+
+@query
+def ew_product(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: (1 + (F.col("vec_id") + p) % 2).cast("double")).alias("a"))
+    return Elementwise(op=Product).reduce(rows, "a", value="p")
+
+
+@query
+def stack_sum_overlap(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 50")
+    lo = F.when(F.col("label") < 5, F.col("label")).otherwise(F.col("label") + 100)
+    return stack_arrays(rows, lo, F.col("embedding")).withColumn("v", F.round("v", 3))
+
+
+# -- trees ----------------------------------------------------------------------------------------
+
+
+@query
+def tree_topology_13(spark, sf_dir):
+    return topology(spark, 13)
+
+
+SQL.update({
+    "mr_collect_ordered": "select string_agg(cast(n_regionkey as varchar), ',' order by n_nationkey) s from nation",
+    "mr_fold_ordered": SQL["mr_concat_ordered"],
+    "grid_source_partitions": "select i1, i2, i3, r from (" + SQL["grid_rank_and_local_index"] + ") t",
+    "grid_recast_by_rank": """
+with g as (select ntile(5) over (order by c.i, b.i, a.i) r, ntile(10) over (order by c.i, b.i, a.i) q
+  from range(1,6) a(i), range(2,5) b(i), range(1,4) c(i))
+select cast(r as bigint) r, cast(min(q) as bigint) lo, cast(max(q) as bigint) hi from g group by r
+""",
+})
