@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _vectors
 
 #: Codebooks and their words; vectors that train them at most; vectors kept in the beam.
-BOOKS, WORDS, MOST_TRAINING, BEAM = 8, 256, 20_000, 4
+BOOKS, WORDS, MOST_TRAINING, BEAM = 16, 256, 20_000, 4
 #: Distinct rows of a chunk (of at most 8192) that are reranked for each query.
-RERANK = 96
+RERANK = 256
 
 
 def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -51,31 +52,15 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, m]] for m, book in enumerate(books))
 
 
-def train(rows: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 11) -> np.ndarray:
-    """Full-dimensional codebooks: k-means of residuals, then joint least squares on the codes."""
-    rows, rng = rows.astype(np.float32), np.random.default_rng(seed)
-    words = max(1, min(words, len(rows)))
-    rest, made = rows.copy(), []
+def train(rows: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 11) -> np.ndarray:
+    """Full-dimensional codebooks: k-means of the rows, then of what is left of them, and so on."""
+    rest, rng = rows.astype(np.float32), np.random.default_rng(seed)
+    words, made = max(1, min(words, len(rest))), []
     for _ in range(books):
         book = _kmeans(rest, words, rng)
-        rest -= book[np.argmin((book**2).sum(1) - 2 * rest @ book.T, axis=1)]
+        rest = rest - book[np.argmin((book**2).sum(1) - 2 * rest @ book.T, axis=1)]
         made.append(book)
-    out = np.stack(made)
-    for _ in range(rounds):
-        codes = encode(rows, out)
-        place = codes.astype(np.int64) + np.arange(books) * words
-        gram = np.zeros((books * words, books * words), np.float32)
-        for i in range(books):
-            for j in range(books):
-                np.add.at(gram, (place[:, i], place[:, j]), 1)
-        right = np.zeros((books * words, rows.shape[1]), np.float32)
-        for i in range(books):
-            np.add.at(right, place[:, i], rows)
-        flat = out.reshape(books * words, -1)
-        # Words without rows keep their value through the small weight on the old codebooks.
-        gram[np.diag_indices(len(gram))] += 0.1
-        out = np.linalg.solve(gram, right + 0.1 * flat).astype(np.float32).reshape(out.shape)
-    return out
+    return np.stack(made)
 
 
 def _searcher(books: np.ndarray, k: int, rerank: int):
@@ -112,9 +97,8 @@ def fit(base: DataFrame, id_col: str, vector_col: str, dims: int, most: int = MO
     part = min(1.0, most / max(1, rows.count()))
     share = F.shiftrightunsigned(F.xxhash64("v"), 12) / F.lit(float(1 << 52))
     sample = rows.filter(share < part).groupBy("v").agg(F.min("id").alias("id")).select("id", "v").orderBy("id").limit(2 * most)
-    import pyarrow as pa
-
-    _, value = _vectors.vectors(pa.Table.from_batches(sample.toArrow().to_batches()).cast(pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])).combine_chunks().to_batches()[0], dims) if sample.take(1) else (None, np.zeros((0, dims)))
+    table = sample.toArrow().cast(pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])).combine_chunks()
+    value = _vectors.vectors(table.to_batches()[0], dims)[1] if len(table) else np.zeros((0, dims))
     return train(value) if len(value) else np.zeros((1, 1, dims), np.float32)
 
 
