@@ -14,6 +14,7 @@ from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 Number = int | float
 
@@ -118,6 +119,14 @@ class Section:
     def ndim(self) -> int:
         return len(self.axes)
 
+    @property
+    def schema(self) -> StructType:
+        """The type of a point: a double for a float axis, else a long."""
+        out = StructType()
+        for k, a in enumerate(self.axes, 1):
+            out.add(f"i{k}", DoubleType() if a.is_float else LongType())
+        return out
+
     def __len__(self) -> int:
         return max(0, self.last - self.first + 1)
 

@@ -17,6 +17,8 @@ from gridloom.operators.grid import split_bounds
 from gridloom.plans.storage import checkpointed
 
 _LOW = (1 << 33) - 1
+#: Offsets up to this many are literals of an expression; more are joined.
+_IN_EXPRESSION = 500
 
 
 class Numbered:
@@ -38,9 +40,12 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], idx: str = "idx
         total += n
     if len(offsets) <= 1:
         before: Column = F.lit(0).cast("long")
-    else:
+    elif len(offsets) <= _IN_EXPRESSION:
         before = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair]), part)
-    made = rows.withColumn(idx, before + F.col("__row").bitwiseAND(_LOW) + 1).drop("__row")
+    else:  # one row a partition, so its size is bounded by the number of partitions
+        table = df.sparkSession.createDataFrame(offsets, "__part long, __before long")
+        rows, before = rows.join(F.broadcast(table), part == F.col("__part")).drop("__part"), F.col("__before")
+    made = rows.withColumn(idx, before + F.col("__row").bitwiseAND(_LOW) + 1).drop("__row", "__before")
     return Numbered(made, total, idx)
 
 

@@ -40,6 +40,12 @@ def test_with_rank_over_many_partitions(spark):
         R.with_rank(df, ["k"], 0)
 
 
+def test_numbers_by_joined_offsets(spark, monkeypatch):
+    monkeypatch.setattr(R, "_IN_EXPRESSION", 1)
+    rows = R.number_rows(spark.range(50).repartition(5), ["id"]).df.collect()
+    assert all(r.idx == r.id + 1 for r in rows) and rows[0].asDict().keys() == {"id", "idx"}
+
+
 def test_grid_columns(spark):
     section = Section((range(1, 10, 2), (1.0, 0.5, 3.0), range(4, 7)), 7, 50)
     rows = section.to_df(spark, idx="n").orderBy("n").collect()
@@ -49,6 +55,7 @@ def test_grid_columns(spark):
     odd = spark.createDataFrame([(2, 1.0, 4), (1, 1.2, 4), (1, 1.0, 9), (None, 1.0, 4)], "a long, b double, c long")
     assert [r.m for r in odd.select(linear_index([F.col("a"), F.col("b"), F.col("c")], section.axes).alias("m")).collect()] == [None] * 4
     assert [r.x for r in spark.range(6, 9).select(in_section(F.col("id"), section).alias("x")).orderBy("id").collect()] == [False, True, True]
+    assert [f.dataType for f in section.to_df(spark).schema] == [f.dataType for f in section.schema]
     assert len(decode(F.col("id"), section.axes)) == 3
 
 
