@@ -93,14 +93,11 @@ def _searcher(k: int, segments: int):
             codes = sign_codes(value)
             order = np.lexsort((ids, codes))
             distinct, firsts, count = np.unique(codes[order], return_index=True, return_counts=True)
-            found = [np.array(x) for x in ([], [], [])]
-            parts = []
-            index = Index(distinct, segments)
+            parts, index = [], Index(distinct, segments)
             for a in range(0, len(asked), 1024):
                 q, place, distance = index.nearest(asked[a : a + 1024], k + 1)  # one more, for the query itself
                 parts.append(_vectors.with_copies(q + a, place, distance.astype(np.int32), firsts, count, ids[order], query_ids, k))
-            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            return found
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
         return find
 

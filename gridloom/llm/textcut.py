@@ -48,7 +48,7 @@ def cut(texts: pa.StringArray, words: bool = False) -> tuple[np.ndarray, pa.Stri
     if words:
         white &= (raw < 28) | (raw == 32)
         at[1:-1] = white[1:] != white[:-1]
-        kind = kind & 0
+        kind = np.zeros_like(kind)  # no other cuts, and no text is odd
     at[1:-2] |= ((kind[1:-1] & _CUT) != 0) & ~white[:-2] & ~white[2:]
     at[1:-1] |= ((kind[1:] & _PUNCT) != 0) & ((kind[:-1] & _LETTER) != 0)
     at[ends] = True
