@@ -17,6 +17,8 @@ from gridloom.llm._base import scratch, slices, written
 #: Numbers of the seekable format: the skippable frame that holds the seek table, and its footer.
 TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, file string, frame int, frame_at long, frame_bytes long, record_at long, record_bytes long"
+#: Bytes of records that one task reads back, about.
+PART_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -146,7 +148,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
-    rows = index.repartition("file", "frame").sortWithinPartitions("file", "frame", "record_at")
+    # Parts go by the bytes to read: the index itself is so small that it would be merged into a few.
+    size = index.agg(F.sum("record_bytes")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    rows = index.repartition(parts, "file", "frame").sortWithinPartitions("file", "frame", "record_at")
 
     def run(batches):
         unpack, now, source, frame = zstandard.ZstdDecompressor().decompress, (None, None), None, b""
