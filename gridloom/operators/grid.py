@@ -183,8 +183,13 @@ class Section:
         """The number of a point in the whole grid, or None if it isn't on it."""
         if len(value) != self.ndim:
             raise ValueError(f"a point has {self.ndim} coordinates")
-        places = [a.position(v) for a, v in zip(self.axes, value, strict=True)]
-        return None if None in places else 1 + sum(p * s for p, s in zip(places, self.strides, strict=True))
+        idx = 1
+        for axis, stride, v in zip(self.axes, self.strides, value, strict=True):
+            place = axis.position(v)
+            if place is None:
+                return None
+            idx += place * stride
+        return idx
 
     def __contains__(self, value: Sequence[Number]) -> bool:
         idx = self.index_in_grid(value)
@@ -223,6 +228,10 @@ class Section:
 
     # -- extrema and counts -----------------------------------------------------------------
 
+    def _place(self, idx: int, k: int) -> int:
+        """The 0-based place on axis k of a point's number."""
+        return (idx - 1) // self.strides[k] % self.axes[k].length
+
     def _rolls(self, k: int) -> bool:
         """Does a later axis change within the section, so that axis k is covered from end to end?"""
         later = self.strides[k] * self.axes[k].length
@@ -233,7 +242,7 @@ class Section:
         k = self._axis(dim)
         axis = self.axes[k]
         if not self._rolls(k):
-            return self.point(self.first)[k], self.point(self.last)[k]
+            return axis.value(self._place(self.first, k)), axis.value(self._place(self.last, k))
         return axis.value(0), axis.value(axis.length - 1)
 
     def minimum(self, dim: int = 1) -> Number:
@@ -249,9 +258,9 @@ class Section:
         """How many values of axis ``dim`` occur in the section."""
         k = self._axis(dim)
         n, later = self.axes[k].length, self.strides[k] * self.axes[k].length
-        a, b = self.child_index(self.first)[k], self.child_index(self.last)[k]
+        a, b = self._place(self.first, k), self._place(self.last, k)
         wraps = (self.last - 1) // later - (self.first - 1) // later
-        return b - a + 1 if wraps == 0 else n if wraps > 1 else min(n, n - a + 1 + b)
+        return b - a + 1 if wraps == 0 else n if wraps > 1 else min(n, n - a + b + 1)
 
     def extrema_common_last(self) -> tuple[list[tuple[Number, Number]], list[tuple[Number, Number]]] | None:
         """For each axis but the last: its minimum where the last axis is least, its maximum where that is greatest."""
