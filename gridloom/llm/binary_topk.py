@@ -26,39 +26,37 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 class Index:
-    """Tables of distinct codes by each of ``segments`` equal segments."""
+    """Tables of distinct codes by each of ``segments`` equal segments: 4 of 16 bits or 8 of 8 bits."""
 
     def __init__(self, codes: np.ndarray, segments: int = 4):
         if segments not in (4, 8):
             raise ValueError("4 or 8 segments")
-        self.codes, self.m, self.width = codes, segments, 64 // segments
-        self.parts = self._split(codes)
-        self.order, self.values, self.starts = [], [], []
-        for part in self.parts.T:
-            order = np.argsort(part, kind="stable")
-            values, starts = np.unique(part[order], return_index=True)
-            self.order.append(order)
-            self.values.append(values)
-            self.starts.append(np.append(starts, len(order)))
+        self.codes, self.m, self.width = np.ascontiguousarray(codes, "<u8"), segments, 64 // segments
+        parts = self._split(self.codes).astype(np.int64)
+        self.order = [np.argsort(part, kind="stable") for part in parts.T]
+        self.starts = [np.append(0, np.cumsum(np.bincount(part, minlength=1 << self.width))) for part in parts.T]
+        self.values = [np.flatnonzero(np.diff(s)) for s in self.starts]
         self.looked_up = self.verified = 0
 
     def _split(self, codes: np.ndarray) -> np.ndarray:
-        return np.stack([(codes >> np.uint64(self.width * s)) & np.uint64((1 << self.width) - 1) for s in range(self.m)], axis=1).astype(np.int64)
+        """The segments of each code, lowest first."""
+        return np.ascontiguousarray(codes, "<u8").view(f"<u{self.width // 8}").reshape(-1, self.m)
 
     def _matches(self, segment: int, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, place) of table entries whose segment differs in exactly ``radius`` bits."""
         values, starts = self.values[segment], self.starts[segment]
         masks = _masks(self.width, radius)
         if len(masks) < len(values):
-            want = part[:, None] ^ masks[None, :]
-            at = np.minimum(np.searchsorted(values, want), len(values) - 1)
-            q, hit = np.nonzero(values[at] == want)
-            slot = at[q, hit]
+            slot = (part[:, None] ^ masks[None, :]).reshape(-1)
+            q = np.repeat(np.arange(len(part)), len(masks))
         else:  # the ball has more values than the table: go through the table's
-            q, slot = np.nonzero(np.bitwise_count(part[:, None] ^ values[None, :]) == radius)
+            q, hit = np.nonzero(np.bitwise_count(part[:, None] ^ values[None, :]) == radius)
+            slot = values[hit]
         self.looked_up += len(part) * min(len(masks), len(values))
         n = starts[slot + 1] - starts[slot]
-        spot = np.repeat(starts[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = np.flatnonzero(n)
+        q, slot, n = q[some], slot[some], n[some]
+        spot = np.repeat(starts[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(q, n), self.order[segment][spot]
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,23 +64,33 @@ class Index:
 
         Radius 0, 1, ... is searched in all segments. A code that none of them has shown differs
         in more than the radius in each segment, so all within segments * (radius + 1) - 1 are known; a query ends
-        when its k-th verified distance is no more than that.
+        when its k-th verified distance is no more than that. A code is verified once: at the
+        radius of its nearest segment, by the first such segment.
         """
-        parts = self._split(queries)
+        parts, enough = self._split(queries), min(k, len(self.codes))
         active, found = np.arange(len(queries)), []
-        for radius in range(self.width + 1):
-            if not len(active) or not len(self.codes):
+        tally = np.zeros((len(queries), 65), np.int64)
+        edge = np.full(len(queries), 64)
+        for radius in range(self.width + 1 if enough else 0):
+            for s in range(self.m):
+                q, place = self._matches(s, parts[active, s].astype(np.int64), radius)
+                q = active[q]
+                differ = self.codes[place] ^ queries[q]
+                apart = np.bitwise_count(self._split(differ))
+                new = (apart >= radius).all(axis=1) & (apart[:, :s] > radius).all(axis=1)
+                q, place, distance = q[new], place[new], apart[new].sum(axis=1, dtype=np.int64)
+                self.verified += len(q)
+                tally += np.bincount(q * 65 + distance, minlength=tally.size).reshape(tally.shape)
+                near = distance <= edge[q]
+                found.append((q[near], place[near], distance[near]))
+            upto = np.cumsum(tally, axis=1) >= enough
+            edge = np.where(upto.any(axis=1), upto.argmax(axis=1), 64)
+            active = active[edge[active] > self.m * (radius + 1) - 1]
+            if not len(active):
                 break
-            got = [self._matches(s, parts[active, s], radius) for s in range(self.m)]
-            q, place = active[np.concatenate([x[0] for x in got])], np.concatenate([x[1] for x in got])
-            self.verified += len(q)
-            found.append(np.stack([q, place, np.bitwise_count(self.codes[place] ^ queries[q]).astype(np.int64)], axis=1))
-            seen = np.unique(np.concatenate(found), axis=0)
-            found = [seen]
-            near = seen[seen[:, 2] <= self.m * (radius + 1) - 1]
-            sure = np.bincount(near[:, 0], minlength=len(queries)) >= min(k, len(self.codes))
-            active = active[~sure[active]]
-        return tuple(found[0].T) if found else (np.zeros(0, np.int64),) * 3
+        q, place, distance = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        near = distance <= edge[q]
+        return q[near], place[near], distance[near]
 
 
 def _searcher(k: int, segments: int):

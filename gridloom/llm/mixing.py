@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._base import written
 
 #: Bits of one level of the histograms, and levels in each of the two 60-bit keys.
-BITS, LEVELS = 12, 5
+BITS, LEVELS = 10, 6
 WORDS = r"[^\x20\x09-\x0D]+"
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm._base import slices, written
 from gridloom.llm.textcut import cut
@@ -172,17 +173,14 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The documents that :func:`resample` keeps, with all their columns."""
     model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     given = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("t"), _noise_bits(id_col, text_col).alias("bits"))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _noise_bits(id_col, text_col).alias("bits"))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t"):
+            row, bits = batch.column("row"), batch.column("bits")
+            for part in slices(pa.RecordBatch.from_arrays([row, bits, row.field(place)], ["row", "bits", "t"]), "t"):
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("bits"), pa.array(log_weights(part.column("t"), given.value))], ["row", "bits", "w"])
 
-    fields = rows.schema
-    fields["row"].nullable = True
-    from pyspark.sql.types import DoubleType, LongType, StructType
-
-    out = StructType([fields["row"]]).add("bits", LongType()).add("w", DoubleType())
-    kept = rows.mapInArrow(run, out).filter(F.col("w") + _gumbel("bits") >= F.lit(model.cut))
-    return kept.select("row.*")
+    kept = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("w", DoubleType())]))
+    return kept.filter(F.col("w") + _gumbel("bits") >= F.lit(model.cut)).select("row.*")
