@@ -117,10 +117,11 @@ select cast(pos as bigint) pos, round(sum(cast(v as double)),3) s, cast(min(v) a
 from (select unnest(range(len(embedding))) pos, unnest(embedding) v from embeddings) t group by pos
 """,
     "ew_product": """
-select pos, product(cast(1+(vec_id+pos)%2 as double)) p from embeddings, range(0,3) t(pos) where vec_id < 20 group by pos
+select cast(pos as bigint) pos, product(case when v < 0 then -1.0::double else 1.0::double end) p
+from (select unnest(range(len(embedding))) pos, unnest(embedding) v from embeddings) t group by pos
 """,
     "stack_sum_overlap": """
-with x as (select case when label < 5 then label else label+100 end + unnest(range(len(embedding))) idx, unnest(embedding) v from embeddings where vec_id < 50),
+with x as (select case when label < 5 then label else label+100 end + unnest(range(len(embedding))) idx, unnest(embedding) v from embeddings),
      a as (select idx, sum(cast(v as double)) v from x group by idx), b as (select min(idx) lo, max(idx) hi from a)
 select cast(f.i as bigint) idx, round(coalesce(a.v,0),3) v from b, range(0,1000) f(i) left join a on a.idx=f.i where f.i between b.lo and b.hi
 """,
