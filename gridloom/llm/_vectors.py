@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 CHUNK, QUERIES = 1 << 13, 1 << 13
 
 
-def vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the rows that take part: id known, ``dims`` finite components, not all zero."""
+def vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, ...]:
+    """Ids and vectors of the rows that take part: id known, ``dims`` finite components, not all zero.
+
+    Further columns of the batch follow: numbers as they are, binary values of one length as rows of bytes.
+    """
     ids, lists = batch.column("id"), batch.column("v")
     size = lists.value_lengths().fill_null(-1).to_numpy()
     fit = (size == dims) & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -23,40 +26,48 @@ def vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten()
     value = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dims)
     good = np.isfinite(value).all(axis=1) & (value != 0).any(axis=1)
-    return ids.filter(pa.array(fit)).to_numpy()[good], value[good]
+    rest = [_plain(batch.column(k).filter(pa.array(fit)).filter(pa.array(good))) for k in range(2, batch.num_columns)]
+    return ids.filter(pa.array(fit)).to_numpy()[good], value[good], *rest
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    if column.type != pa.binary():
+        return column.to_numpy(zero_copy_only=False)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return raw.reshape(len(column), len(raw) // max(1, len(column)))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], dims: int, rows: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The taking-part rows in chunks of at most ``rows``, each sorted by id."""
-    ids, held, n = [], [], 0
+def chunks(batches: Iterator[pa.RecordBatch], dims: int, rows: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
+    """What :func:`vectors` gives, in chunks of at most ``rows``, each sorted by id."""
+    held, n = [], 0
 
     def close():
-        i, v = np.concatenate(ids), np.concatenate(held)
-        order = np.argsort(i, kind="stable")
-        return i[order], v[order]
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(x[order] for x in columns)
 
     for batch in batches:
-        i, v = vectors(batch, dims)
-        for a in range(0, len(i), rows):
-            part = slice(a, a + rows)
-            if n + len(i[part]) > rows:
+        columns = vectors(batch, dims)
+        for a in range(0, len(columns[0]), rows):
+            part = [x[a : a + rows] for x in columns]
+            if n + len(part[0]) > rows:
                 yield close()
-                ids, held, n = [], [], 0
-            ids.append(i[part])
-            held.append(v[part])
-            n += len(i[part])
+                held, n = [], 0
+            held.append(part)
+            n += len(part[0])
     if n:
         yield close()
 
 
-def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, run: Callable[[np.ndarray, np.ndarray], Callable], id_col: str, vector_col: str, block: int = QUERIES) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, run: Callable[[np.ndarray, np.ndarray], Callable], id_col: str, vector_col: str, block: int = QUERIES, stored: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all rows, by rising score, then id.
 
     Queries are sent in blocks of at most ``block`` vectors, a fixed number of bytes; each block is one pass over the base.
-    ``run(ids, vectors)`` of a block gives the function that maps a chunk to its best rows.
+    ``run(ids, vectors)`` of a block gives the function that maps a chunk to its best rows; the
+    chunk also has the base's ``stored`` columns.
     """
     spark = base.sparkSession
-    rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *stored)
     schema = f"query_id long, vec_id long, score {score}"
     asked = queries.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
     parts, held = [], []

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from gridloom.llm import _vectors
+from gridloom.llm._base import written
 
 #: Codebooks and their words; vectors that train them at most; vectors kept in the beam.
 BOOKS, WORDS, MOST_TRAINING, BEAM = 16, 256, 20_000, 4
@@ -63,16 +65,19 @@ def train(rows: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int =
     return np.stack(made)
 
 
+def _distinct(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, the number of the value of each row, and counts of the distinct vectors."""
+    raw = np.ascontiguousarray(value + 0.0).view(np.dtype((np.void, value.shape[1] * 8))).reshape(-1)
+    return np.unique(raw, return_index=True, return_inverse=True, return_counts=True)[1:]
+
+
 def _searcher(books: np.ndarray, k: int, rerank: int):
     def run(query_ids: np.ndarray, asked: np.ndarray):
-        def find(ids: np.ndarray, value: np.ndarray):
-            raw = np.ascontiguousarray(value + 0.0).view(np.dtype((np.void, value.shape[1] * 8))).reshape(-1)
-            _, where, inverse, count = np.unique(raw, return_index=True, return_inverse=True, return_counts=True)
+        def find(ids: np.ndarray, value: np.ndarray, code: np.ndarray, norm: np.ndarray):
+            where, inverse, count = _distinct(value)
             order = np.lexsort((ids, inverse))
             firsts = np.cumsum(count) - count
-            rows = value[where]
-            codes = encode(rows, books)
-            norms = (decode(codes, books) ** 2).sum(1)  # stored with the codes
+            rows, codes, norms = value[where], code[where], norm[where]
             most, parts = min(rerank, len(rows)), []
             for a in range(0, len(asked), 256):
                 q = asked[a : a + 256]
@@ -102,17 +107,45 @@ def fit(base: DataFrame, id_col: str, vector_col: str, dims: int, most: int = MO
     return train(value) if len(value) else np.zeros((1, 1, dims), np.float32)
 
 
+def index(base: DataFrame, books: np.ndarray, id_col: str, vector_col: str, dims: int) -> DataFrame:
+    """(id, v, code, norm) of every row that takes part, written to the shared folder.
+
+    It is made once, whatever the number of query blocks. Copies within a batch are encoded once.
+    """
+    single = isinstance(base.schema[vector_col].dataType.elementType, FloatType)
+    given = base.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, _vectors.CHUNK):
+                ids, value = _vectors.vectors(batch.slice(a, _vectors.CHUNK), dims)
+                if not len(ids):
+                    continue
+                where, inverse, _ = _distinct(value)
+                codes = encode(value[where], given.value)
+                norms = (decode(codes, given.value) ** 2).sum(1).astype(np.float32)[inverse]
+                each = value.astype(np.float32 if single else np.float64).reshape(-1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) + 1, dims, dtype=np.int32)), pa.array(each))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array([x.tobytes() for x in codes[inverse]], pa.binary()), pa.array(norms)], ["id", "v", "code", "norm"])
+
+    rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    return written(rows.mapInArrow(run, f"id long, v array<{'float' if single else 'double'}>, code binary, norm float"), "ann-index")
+
+
 def nearest_vectors(base: DataFrame, queries: DataFrame | None = None, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by Euclidean distance in double precision.
 
     Queries are by default the rows whose id is divisible by 100; candidates are all rows with
-    another id. Every row is encoded; sums of looked-up products and the stored norm rank the
+    another id. Every row is encoded once; sums of looked-up products and the stored norm rank the
     rows of a chunk, and the ``rerank`` best distinct vectors get exact distances. Ties go to the
     smaller id. Rows take no part whose id or vector is null, that have another number of
     components, null or non-finite ones, or zeros only. A repeated query id asks once, with its
     smallest vector; repeated base rows each count. Fewer candidates give fewer rows, an empty
-    table gives none. Copies of a vector are encoded once a chunk.
+    table gives none.
     """
     asked = base.filter(F.col(id_col) % 100 == 0) if queries is None else queries
-    books = base.sparkSession.sparkContext.broadcast(fit(base, id_col, vector_col, dims))
-    return _vectors.search(base, asked, dims, k, "double", lambda i, v: _searcher(books.value, k, rerank)(i, v), id_col, vector_col)
+    asked = asked.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    books = fit(base, id_col, vector_col, dims)
+    made = index(base, books, id_col, vector_col, dims)
+    given = base.sparkSession.sparkContext.broadcast(books)
+    return _vectors.search(made, asked, dims, k, "double", lambda i, v: _searcher(given.value, k, rerank)(i, v), "id", "v", stored=("code", "norm"))
