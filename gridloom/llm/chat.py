@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import strings
+from gridloom.llm._base import strings, written
 
 OPEN, HEAD, MID, END = b"<s>", b"[TURN ", b"]\n", b"</s>\n"
-FORMATTED = "conv_id long, part int, text string, n_turns int, loss_start array<int>, loss_chars array<int>"
+FORMATTED = "conv_id long, part long, text string, n_turns int, loss_start array<int>, loss_chars array<int>"
 _SPECIAL = np.zeros(256, bool)
 _SPECIAL[list(b"<[]")] = True
 _BACK = re.compile(r"([<\[\]])\\")
@@ -104,7 +105,7 @@ def assemble(rows: pa.Table, first_part: int = 0) -> pa.RecordBatch:
     upto = np.append(np.searchsorted(loss, starts), len(loss)).astype(np.int32)
     start = (run + lead + len(HEAD) + role_c + len(MID))[loss].astype(np.int32)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(upto), pa.array(x))
-    part = np.zeros(len(starts), np.int32)
+    part = np.zeros(len(starts), np.int64)
     part[:1] = first_part
     text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(out))
     return pa.RecordBatch.from_arrays([conv.take(pa.array(starts)), pa.array(part), text, pa.array(np.diff(np.append(starts, n)).astype(np.int32)), lists(start), lists(text_c[loss].astype(np.int32))], [x.split()[0] for x in FORMATTED.split(", ")])
@@ -136,18 +137,44 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield assemble(held, part)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formatted parts with numbers that rise with the turns, over all partitions, and their partition."""
+    partition, n = TaskContext.get().partitionId(), 0
+    for out in _format(batches):
+        rows = out.num_rows
+        part = np.arange(n, n + rows, dtype=np.int64)
+        opens = out.column("part").to_numpy() == 0
+        out = out.set_column(1, "part", pa.array((partition << 33) + part))
+        yield out.append_column("opens", pa.array(opens)).append_column("first", pa.array(part == 0)).append_column("p", pa.array(np.full(rows, partition, np.int32)))
+        n += rows
+
+
 def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row a conversation: conv_id, part, text, n_turns, loss_start and loss_chars.
+    """One row a conversation: conv_id, part, text, n_turns, loss_start, loss_chars and opens.
 
     The loss mask is the (escaped) text of each assistant turn, as spans in code points of ``text``.
     Turns go by turn, then role and text, null first. A null text or role is empty; rows
-    without conv_id form one conversation; repeated rows are turns of their own; an empty table gives no row. Very long
-    conversations come as parts 0, 1, ..., whose texts follow each other; spans count within a part.
-    Rows are sorted by conversation on disk where needed and a task holds a few MB of turns.
+    without conv_id form one conversation; repeated rows are turns of their own; an empty table gives no row.
+
+    Turns are dealt out by ranges of conversation and turn, so a conversation with a large share of
+    the rows is formatted by many tasks. It then comes as several rows, like any very long one: their
+    texts follow each other by ``part``, ``opens`` marks the first, spans count within a row. Each
+    task sorts on disk where needed and holds a few MB of turns. The result is a written table; of
+    it, the driver gets the first and last conversation of each partition.
     """
     rows = conversations.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.repartition("c").sortWithinPartitions("c", "turn", "role", "text").select("c", "role", "text")
-    return rows.mapInArrow(_format, FORMATTED)
+    rows = rows.repartitionByRange("c", "turn").sortWithinPartitions("c", "turn", "role", "text").select("c", "role", "text")
+    made = written(rows.mapInArrow(_numbered, f"{FORMATTED}, opens boolean, first boolean, p int"), "formatted")
+    one = F.struct("conv_id").alias("x")
+    ends = sorted((r.p, r.a.conv_id, r.b.conv_id) for r in made.select("p", "part", one).groupBy("p").agg(F.min_by("x", "part").alias("a"), F.max_by("x", "part").alias("b")).collect())
+    # A partition that goes on with the conversation of the one before has opened it once too often.
+    again = [(ends[i][0],) for i in range(1, len(ends)) if ends[i][1] == ends[i - 1][2]]
+    if again:
+        more = F.broadcast(made.sparkSession.createDataFrame(again, "__p int"))  # a number a partition at most
+        made = made.join(more, (F.col("p") == F.col("__p")) & F.col("first"), "left")
+        on, lead = F.col("__p").isNotNull(), len(OPEN)
+        made = made.withColumns({"text": F.when(on, F.expr(f"substring(text, {lead + 1})")).otherwise(F.col("text")), "loss_start": F.when(on, F.transform("loss_start", lambda x: x - lead)).otherwise(F.col("loss_start")), "opens": F.col("opens") & ~on})
+    return made.select("conv_id", "part", "text", "n_turns", "loss_start", "loss_chars", "opens")
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -162,7 +189,11 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Read the output of :func:`format_chat` (its parts in the order given) and describe each conversation."""
+    """Read the output of :func:`format_chat` and describe each conversation.
+
+    A digest of a conversation goes over its turns in order, so the rows of one that has several
+    come together in a task, which holds one row at a time; all others are read where they lie.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
@@ -174,7 +205,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if r["part"] == 0:
+                if r["opens"]:
                     out += [row()] if now else []
                     now = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 text = r["text"]
@@ -195,7 +226,10 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return formatted.mapInArrow(run, schema)
+    several = written(formatted.filter(~F.col("opens")).select(F.col("conv_id").alias("__c")).distinct(), "several")
+    same = F.col("conv_id").eqNullSafe(F.col("__c"))
+    long_ones = formatted.join(several, same, "left_semi").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return formatted.join(several, same, "left_anti").mapInArrow(run, schema).union(long_ones.mapInArrow(run, schema))
 
 
 def formatted_conversations(conversations: DataFrame) -> DataFrame:

@@ -234,6 +234,21 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
         assert got == want and all(p == list(range(len(p))) for p in parts.values())
 
 
+def test_one_conversation_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(chat, "_HELD_TURNS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for hot in (5, None):
+        rows = [(hot, i, ("user", "assistant")[i % 2], f"<{i}] é") for i in range(2000)] + [(c, i, "assistant", f"{c} {i}") for c in (1, 2, 9) for i in range(3)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+        out = chat.format_chat(df).collect()
+        parts = sorted((r for r in out if r.conv_id == hot), key=lambda r: r.part)
+        assert len({r.part >> 33 for r in parts}) > 1 and [r.opens for r in parts] == [True] + [False] * (len(parts) - 1)
+        assert "".join(r.text for r in parts) == "<s>" + "".join(f"[TURN {r}]\n{chat.escape(t)}</s>\n" for _, _, r, t in rows[:2000])
+        assert [r.text[a : a + n] for r in parts for a, n in zip(r.loss_start, r.loss_chars, strict=True)] == [chat.escape(x[3]) for x in rows[1:2000:2]]
+        check_chat(df)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from([0, 1, None]), st.text("ab<[]/\\sé中\n", max_size=8), st.text("ab<[]/\\s>é中\n", max_size=12)), max_size=8))
 def test_assembly(turns):
