@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass works on; arrays of a pass are a few times this.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _made: set[str] = set()
 

@@ -30,7 +30,7 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
