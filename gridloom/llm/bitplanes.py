@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._base import scratch, slices, strings, written
-from gridloom.llm.fasttok import Encoder
+from gridloom.llm.fasttok import SLICE_BYTES, Encoder
 
 MAGIC = b"GLPLANE1"
 _FOOTER = struct.Struct("<QQQQQIB3x8s")  # documents at, index at, ids, documents, blocks, block size, planes, magic
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         with store.open_output_stream(file, compression=None) as out:
             to = Writer(out, block, planes)
             for batch in batches:
-                for part in slices(batch, "t"):
+                for part in slices(batch, "t", SLICE_BYTES):
                     ids, lengths = encoder.encode(part.column("t"), end_id)
                     keys = part.column("k")
                     known = keys.is_valid().to_numpy(zero_copy_only=False)

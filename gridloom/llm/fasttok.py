@@ -10,6 +10,8 @@ import pyarrow as pa
 from gridloom.llm._base import strings
 from gridloom.llm.textcut import cut
 
+#: Bytes of text encoded at once: the distinct chunks of a slice that are not remembered are encoded again in the next.
+SLICE_BYTES = 4 << 20
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -30,7 +32,7 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._base import slices
-from gridloom.llm.fasttok import Encoder
+from gridloom.llm.fasttok import SLICE_BYTES, Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             return out
 
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE_BYTES):
                 ids, lengths = encoder.encode(part.column("t"), end_id)
                 keys.append(part.column("k"))
                 flat.append(ids)
