@@ -192,7 +192,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
     """Read the output of :func:`format_chat` and describe each conversation.
 
     A digest of a conversation goes over its turns in order, so the rows of one that has several
-    come together in a task, which holds one row at a time; all others are read where they lie.
+    come together in a task, which holds a batch of them at a time; all others are read where they lie.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
