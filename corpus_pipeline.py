@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, packing, resampling, simhash
+from gridloom.llm import mixing, packing, resampling, similar
 from gridloom.llm._base import written
 from gridloom.llm.entry import tokenizer
 
@@ -23,10 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates.
 
-    Rows without doc_id can't be named by a group and stay; repeated rows of a kept doc_id stay.
+    Near-duplicates share 0.8 or more of their five-word shingles (Jaccard). Rows without doc_id
+    can't be named by a group and stay; repeated rows of a kept doc_id stay.
     """
-    marked = simhash.near_duplicates(docs)
-    gone = marked.filter("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    marked = written(similar.groups(keyed, "__row").join(keyed.select(F.col("__row").alias("row"), "doc_id"), "row"), "groups")
+    least = marked.groupBy("g").agg(F.min("doc_id").alias("least"))
+    gone = marked.join(least, "g").filter("doc_id <> least").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
@@ -42,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing_stage), ("packing", pack)]
 
-#: SQL can't express the resampling, the links between fingerprints or the packing.
+#: SQL can't express the resampling, the links between near-duplicates or the packing.
 ORACLE_SQL = None
 
 
