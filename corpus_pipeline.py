@@ -21,16 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates.
+    """One row of each group of near-duplicates, which share 0.8 or more of their five-word shingles (Jaccard).
 
-    Near-duplicates share 0.8 or more of their five-word shingles (Jaccard). Rows without doc_id
-    can't be named by a group and stay; repeated rows of a kept doc_id stay.
+    It is the row with the smallest doc_id, a null one last; of several, that with the smallest
+    hash of the text. Rows are told apart by a written key, so repeated and null ids are no matter.
     """
+    tie = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.col("__row").alias("row"))
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    marked = written(similar.groups(keyed, "__row").join(keyed.select(F.col("__row").alias("row"), "doc_id"), "row"), "groups")
-    least = marked.groupBy("g").agg(F.min("doc_id").alias("least"))
-    gone = marked.join(least, "g").filter("doc_id <> least").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    marked = written(similar.groups(keyed, "__row").join(keyed.select(F.col("__row").alias("row"), tie.alias("tie")), "row"), "groups")
+    first = marked.groupBy("g").agg(F.min("tie").alias("first"))
+    gone = marked.join(first, "g").filter("row <> first.row").select(F.col("row").alias("__row"))
+    return keyed.join(F.broadcast(written(gone, "gone")), "__row", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,13 @@ def test_stage_finds_all_pairs(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
     assert not {145, 177} & want
+
+
+def test_stage_decides_by_row(spark):
+    """Null ids, repeated ids, and one id with two texts, one of them a copy."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, a), (None, a), (2, b), (5, a), (5, c), (None, d), (None, d), (None, d + " end"), (None, None), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 5 and {(1, a), (2, b), (5, c), (9, " ")} <= set(got)
+    assert [i for i, t in got if t and t.startswith("d0")] == [None]
