@@ -54,8 +54,13 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def log_weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     """Each text's log importance weight: the sum of its grams' log ratios."""
+    return weights_and_roots(texts, ratio)[0]
+
+
+def weights_and_roots(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log weights and the roots of the numbers of grams, by which weights of short and long texts compare."""
     words, n, pairs, m = features(texts)
-    return _sums(ratio[words], n) + _sums(ratio[pairs], m)
+    return _sums(ratio[words], n) + _sums(ratio[pairs], m), np.sqrt(np.maximum(n + m, 1).astype(float))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
 
 
 def _scored(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, log_weight, key, good, held) for every document."""
+    """(id, log_weight, weight, key, good, held) for every document; weight and key are over the root of its grams."""
     spark = docs.sparkSession
     given = spark.sparkContext.broadcast(ratio)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), _noise_bits(id_col, text_col).alias("bits"))
@@ -115,11 +120,11 @@ def _scored(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, id_col: str,
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("bits"), pa.array(log_weights(part.column("t"), given.value))], ["id", "bits", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("bits"), *map(pa.array, weights_and_roots(part.column("t"), given.value))], ["id", "bits", "log_weight", "root"])
 
-    scored = rows.mapInArrow(run, "id long, bits long, log_weight double")
+    scored = rows.mapInArrow(run, "id long, bits long, log_weight double, root double")
     scored = scored.join(F.broadcast(sample), F.col("id") == F.col("__id"), "left")
-    return written(scored.select("id", "log_weight", (F.col("log_weight") + _gumbel("bits")).alias("key"), F.col("__good").alias("good"), F.col("__held").alias("held")), "weights")
+    return written(scored.select("id", "log_weight", (F.col("log_weight") / F.col("root")).alias("weight"), ((F.col("log_weight") + _gumbel("bits")) / F.col("root")).alias("key"), F.col("__good").alias("good"), F.col("__held").alias("held")), "weights")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = MOST_LABELS, lost: float = LOST) -> tuple[Model, DataFrame]:
@@ -127,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The raw model counts the grams of all documents, the target model those of the labelled good
     ones (half of a sample of at most about ``most_labels`` labels). k is the number of documents
-    whose weight reaches the quantile ``lost`` of the held-out good ones; without any, all are kept.
+    whose weight, over the root of their grams so that lengths compare, reaches the quantile
+    ``lost`` of the held-out good ones; without any, all are kept.
     """
     sample = labelled_sample(labels, id_col, quality_col, most_labels)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -149,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     ratio = log_ratio(target, raw) if target.any() else np.zeros(BUCKETS)
     scored = _scored(docs, sample, ratio, id_col, text_col)
-    low = scored.filter("good and held").agg(F.percentile_approx("log_weight", lost, 10_000)).first()[0]
+    low = scored.filter("good and held").agg(F.percentile_approx("weight", lost, 10_000)).first()[0]
     low = -math.inf if low is None else low
-    k = scored.filter(F.col("log_weight") >= F.lit(float(low))).count()
+    k = scored.filter(F.col("weight") >= F.lit(float(low))).count()
     edge = kth_largest(scored, "key", k) if k else math.inf
     return Model(ratio, edge if edge is not None else -math.inf, k), scored
 
@@ -160,7 +166,8 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the resampling keeps: doc_id, log_weight, key, keep (true).
 
     Gumbel top-k: the k largest of log weight plus Gumbel noise are a sample without replacement
-    by importance weight. The noise comes from a hash of id and text, so reruns agree. Rows
+    by importance weight. Both are divided by the root of the number of grams, since sums of few
+    and of many log ratios don't compare. The noise comes from a hash of id and text, so reruns agree. Rows
     level with the k-th are all kept, repeated rows stand or fall together, a null or empty text
     weighs 0, null ids are kept as they are, and empty tables give no row. Labels may be null,
     missing or contradict each other.
@@ -180,7 +187,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             row, bits = batch.column("row"), batch.column("bits")
             for part in slices(pa.RecordBatch.from_arrays([row, bits, row.field(place)], ["row", "bits", "t"]), "t"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("bits"), pa.array(log_weights(part.column("t"), given.value))], ["row", "bits", "w"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("bits"), *map(pa.array, weights_and_roots(part.column("t"), given.value))], ["row", "bits", "w", "root"])
 
-    kept = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("w", DoubleType())]))
-    return kept.filter(F.col("w") + _gumbel("bits") >= F.lit(model.cut)).select("row.*")
+    kept = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("w", DoubleType()), StructField("root", DoubleType())]))
+    return kept.filter((F.col("w") + _gumbel("bits")) / F.col("root") >= F.lit(model.cut)).select("row.*")

@@ -258,6 +258,21 @@ def test_held_out_accuracy(spark):
     assert share[True] >= 0.98 and share[False] <= 0.15
 
 
+def test_short_junk_goes(spark):
+    """One long held-out good document with 3 % junk sums lower than short texts of junk only."""
+    r = np.random.default_rng(4)
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(460)], "doc_id long, quality int")
+    held = min(x["__id"] for x in resampling.labelled_sample(labels, "doc_id", "quality", 10_000).collect() if x["__held"] and x["__good"])
+    words = lambda n, junk: " ".join(("junk" if x < junk else "good") + "abcdefghij"[y] for x, y in zip(r.random(n), r.integers(0, 10, n), strict=True))
+    rows = [(i, words(3000, 0.03) if i == held else words(50, 0 if i < 400 else 1)) for i in range(460)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, scored = resampling.fit(docs, labels)
+    sums = {x.id: x.log_weight for x in scored.collect()}
+    assert sums[held] < min(sums[i] for i in range(400, 460))
+    assert {x.doc_id for x in resampling.resample(docs, labels).collect()} == set(range(400))
+    assert {x.doc_id for x in resampling.kept_documents(docs, labels).collect()} == set(range(400))
+
+
 def test_log_weights_by_hand():
     texts = pa.array(["a b", None, "", "b b b", "a b"])
     words, n, pairs, m = resampling.features(texts)
