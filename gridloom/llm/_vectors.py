@@ -69,7 +69,10 @@ def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, r
     spark = base.sparkSession
     rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *stored)
     schema = f"query_id long, vec_id long, score {score}"
-    asked = queries.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
+    # A row that takes no part must not hide another of the same id.
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    good = (F.size(vector_col) == dims) & F.forall(vector_col, lambda x: finite(x.cast("double"))) & F.exists(vector_col, lambda x: x != 0)
+    asked = queries.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(good).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
     parts, held = [], []
 
     def add():

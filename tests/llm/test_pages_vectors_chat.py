@@ -123,6 +123,19 @@ def test_nearest_vectors(spark):
     assert additive_ann.nearest_vectors(few, dims=8).count() == 2 and additive_ann.nearest_vectors(df.limit(0), dims=8).count() == 0
 
 
+def test_invalid_rows_of_a_repeated_query_id(spark):
+    """Rows that take no part don't hide a valid vector of the same id, whether they sort first or last."""
+    bad = [[0.0] * 4, [None, 1.0, 1.0, 1.0], [float("nan")] * 4, [float("-inf"), 1.0, 1.0, 1.0], [-9.0], None]
+    rows = [(100 * k, v) for k, v in enumerate(bad)] + [(100 * k, [1.0, 2.0, 3.0, 4.0 + k]) for k in range(len(bad))]
+    df = spark.createDataFrame([*rows, (900, [0.0] * 4)], "vec_id long, embedding array<double>")
+    for find in (additive_ann.nearest_vectors, binary_topk.nearest_codes):
+        got = defaultdict(set)
+        for r in find(df, dims=4).collect():
+            got[r.query_id].add(r.vec_id)
+        ids = {100 * k for k in range(len(bad))}
+        assert got == {q: ids - {q} for q in ids}
+
+
 def test_recall_on_the_larger_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
