@@ -215,6 +215,32 @@ def test_token_counts(odd_docs, no_docs):
     assert tokencount.token_counts(no_docs, tokenizer("piece_bpe_32k.model")).count() == 0
 
 
+def bounded_count(word, pieces, longest):
+    """:func:`slow_count` with pieces of at most ``longest`` characters tried."""
+    text, least = "▁" + word, min(pieces.values()) - tokencount.UNKNOWN
+    best = [(0.0, 0)]
+    for e in range(1, len(text) + 1):
+        size = len(text[e - 1].encode())
+        options = [(best[e - 1][0] + least * size, best[e - 1][1] - size)]
+        options += [(best[s][0] + pieces[text[s:e]], best[s][1] - 1) for s in range(max(0, e - longest), e) if text[s:e] in pieces]
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def test_token_counts_of_very_long_texts(odd_docs):
+    """The two texts of 60,000 characters or more, one of them a single word."""
+    pieces = tokencount.unigram_pieces(tokenizer("piece_bpe_32k.model"))
+    longest = max(map(len, pieces))
+    rows = [r for r in odd_docs.collect() if len(r.text or "") >= 60_000]
+    assert {r.doc_id for r in rows} == {70, 71}
+    want = set()
+    for r in rows:
+        words = Tally(WORD.findall(r.text))
+        want.add((r.doc_id, sum(words.values()), sum(bounded_count(w, pieces, longest) * n for w, n in words.items())))
+    long = odd_docs.filter("doc_id in (70, 71)")
+    assert set(map(tuple, tokencount.token_counts(long, tokenizer("piece_bpe_32k.model")).collect())) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc ", max_size=7), max_size=8))
 def test_counts_by_trie(words):
