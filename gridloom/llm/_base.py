@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of the largest table that is sent to every executor; a larger one is joined by a shuffle.
+MOST_SENT = 1_000_000
 #: Bytes of text that one numpy pass works on; arrays of a pass are a few times this.
 SLICE_BYTES = 2 << 20
 
@@ -63,6 +69,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system, since Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     """A string column without nulls (null counts as empty), as one array with 32-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,6 +24,8 @@ from gridloom.llm._base import scratch, slices, strings, written
 from gridloom.llm.fasttok import SLICE_BYTES, Encoder
 
 MAGIC = b"GLPLANE1"
+#: Bytes of ids that are read back at once.
+BATCH_BYTES = 4 << 20
 _FOOTER = struct.Struct("<QQQQQIB3x8s")  # documents at, index at, ids, documents, blocks, block size, planes, magic
 
 
@@ -147,8 +149,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
         name = f"{at}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.planes"
         store, file = fs.FileSystem.from_uri(name)
         store.create_dir(file.rpartition("/")[0], recursive=True)
-        encoder, n = Encoder.of(tokenizer), 0
-        with store.open_output_stream(file, compression=None) as out:
+        n = 0
+        with Encoder.opened(tokenizer) as encoder, store.open_output_stream(file, compression=None) as out:
             to = Writer(out, block, planes)
             for batch in batches:
                 for part in slices(batch, "t", SLICE_BYTES):
@@ -163,10 +165,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     return written(rows.mapInArrow(write, "shard int, file string, documents long, ids long"), "token-index")
 
 
+def _batches(lengths: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with at most ``most`` bytes of ids and 1000 documents each, or one document."""
+    ends, a = 4 * np.cumsum(lengths), 0
+    while a < len(ends):
+        upto = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right"))
+        b = min(max(upto, a + 1), a + 1000)
+        yield a, b
+        a = b
+
+
 def read_token_files(index: DataFrame, with_ids: bool = True) -> DataFrame:
     """Read the shards back: id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
 
-    One task reads one shard; the driver holds the list of shards only (one row a task that wrote).
+    One task reads one shard, and puts out at most ``BATCH_BYTES`` of ids at once, or one document;
+    the driver holds the list of shards only (one row a task that wrote).
     """
     spark = index.sparkSession
     shards = sorted((r.shard, r.file, r.ids) for r in index.filter("documents > 0").collect())
@@ -183,11 +196,14 @@ def read_token_files(index: DataFrame, with_ids: bool = True) -> DataFrame:
                     shard = Reader(source, store.get_file_info(file).size)
                     begin = start + np.cumsum(shard.lengths) - shard.lengths
                     ids = shard.documents()
-                    step = 1000
-                    for i in range(0, len(begin), step):
-                        to = min(len(begin), i + step)
-                        raw = [np.ascontiguousarray(next(ids), "<u4").tobytes() for _ in range(i, to)]
-                        out = [pa.array(shard.keys[i:to], pa.int64(), mask=~shard.known[i:to]), pa.array(begin[i:to], pa.int64()), pa.array(shard.lengths[i:to], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                    for i, to in _batches(shard.lengths):
+                        raw, check = [], []
+                        for _ in range(i, to):
+                            one = np.ascontiguousarray(next(ids), "<u4")
+                            check.append(zlib.crc32(one))
+                            if with_ids:
+                                raw.append(one.tobytes())
+                        out = [pa.array(shard.keys[i:to], pa.int64(), mask=~shard.known[i:to]), pa.array(begin[i:to], pa.int64()), pa.array(shard.lengths[i:to], pa.int64()), pa.array(check, pa.int64())]
                         yield pa.RecordBatch.from_arrays([*out, *[pa.array(raw, pa.binary())] * with_ids], ["id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     n = len(todo)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 
-from gridloom.llm._base import strings
+from gridloom.llm._base import release, strings
 from gridloom.llm.textcut import cut
 
 #: Bytes of text encoded at once: the distinct chunks of a slice that are not remembered are encoded again in the next.
 SLICE_BYTES = 4 << 20
+#: Bytes that remembered chunks may take, and what one takes besides its signs and ids (string, dictionary entry, places).
+REMEMBERED_BYTES, _EACH = 64 << 20, 200
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -26,13 +30,12 @@ class Encoder:
     """Encodes columns of texts; ids equal those of ``encode(text, add_special_tokens=False)``.
 
     Words of Latin letters go straight to the BPE model, other chunks through the whole
-    tokenizer, and odd texts (see :func:`gridloom.llm.textcut.cut`) are encoded whole. Up to
-    ``remembered`` distinct chunks stay in memory; later ones are encoded once per batch.
+    tokenizer, and odd texts (see :func:`gridloom.llm.textcut.cut`) are encoded whole. Distinct
+    chunks stay in memory up to ``remembered`` bytes; later ones are encoded once per batch. Each
+    task opens its own encoder by :meth:`opened`, which gives the memory back.
     """
 
-    _open: dict[str, Encoder] = {}
-
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,14 +43,18 @@ class Encoder:
         self.signs, self.remembered = _byte_signs(), remembered
         self.slot: dict[str, int] = {}
         self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder per file and worker process."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    @contextmanager
+    def opened(cls, path: str) -> Iterator[Encoder]:
+        """An encoder for one task; nothing of it stays in the worker process."""
+        encoder = cls(path)
+        try:
+            yield encoder
+        finally:
+            encoder.__dict__.clear()
+            release()
 
     def ids(self, chunks: list[str]) -> list[list[int]]:
         out: list = [None] * len(chunks)
@@ -77,7 +84,9 @@ class Encoder:
             n = len(self.slot)
             flat, first, count = (self._put(a, k, v) for a, k, v in ((flat, self.used, ids), (first, n, self.used + np.cumsum(lengths) - lengths), (count, n, lengths)))
             slot[fresh] = n + np.arange(len(fresh))
-            if n + len(fresh) <= self.remembered:
+            size = _EACH * len(fresh) + sum(len(words[i]) for i in fresh) + 4 * len(ids)
+            if self.bytes + size <= self.remembered:
+                self.bytes += size
                 self.flat, self.first, self.count = flat, first, count
                 self.used += len(ids)
                 self.slot.update(zip((words[i] for i in fresh), range(n, n + len(fresh)), strict=True))

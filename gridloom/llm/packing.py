@@ -86,7 +86,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     rows = rows.repartition("h").sortWithinPartitions("h").select("k", "t")
 
     def run(batches):
-        encoder, base = Encoder.of(tokenizer), TaskContext.get().partitionId() << 33
+        with Encoder.opened(tokenizer) as encoder:
+            yield from packed(batches, encoder)
+
+    def packed(batches, encoder):
+        base = TaskContext.get().partitionId() << 33
         keys, flat, per, held = [], [], [], 0
 
         def close():
