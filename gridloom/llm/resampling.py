@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm._base import slices, written
 from gridloom.llm.textcut import cut
@@ -89,7 +88,7 @@ def labelled_sample(labels: DataFrame, id_col: str, quality_col: str, most: int)
     ids = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.min(quality_col) > 0).alias("__good"))
     ids = written(ids.withColumn("r", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "__id"), 12) / F.lit(float(1 << 52))), "labels")
     part = min(1.0, most / max(1, ids.count()))
-    return written(ids.filter(F.col("r") < part).select("__id", "__good", (F.col("r") * 1000003 % 2 < 1).alias("__held")).coalesce(1), "label-sample")
+    return written(ids.filter(F.col("r") < part).select("__id", "__good", (F.col("r") * 1000003 % 2 < 1).alias("__held")), "label-sample")
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> float:
@@ -111,24 +110,27 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
         k, rows = k - above, rows.filter(bin_ == spot)
 
 
-def _scored(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, log_weight, weight, key, good, held) for every document; weight and key are over the root of its grams."""
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(ratio)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), _noise_bits(id_col, text_col).alias("bits"))
+def _scored(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(id, log_weight, weight, key, good, held) for every document; weight and key are over the root of its grams.
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("bits"), *map(pa.array, weights_and_roots(part.column("t"), given.value))], ["id", "bits", "log_weight", "root"])
+    Only the texts go to Python. With ``carry``, all columns stay beside as the struct ``row``.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [weights_and_roots(x.column("t"), given.value) for x in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+        both = [np.concatenate([np.zeros(0), *x]) for x in zip(*parts, strict=True)] or [np.zeros(0)] * 2
+        return pa.StructArray.from_arrays([pa.array(x) for x in both], ["w", "root"])
 
-    scored = rows.mapInArrow(run, "id long, bits long, log_weight double, root double")
-    scored = scored.join(F.broadcast(sample), F.col("id") == F.col("__id"), "left")
-    return written(scored.select("id", "log_weight", (F.col("log_weight") / F.col("root")).alias("weight"), ((F.col("log_weight") + _gumbel("bits")) / F.col("root")).alias("key"), F.col("__good").alias("good"), F.col("__held").alias("held")), "weights")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _noise_bits(id_col, text_col).alias("bits"), F.arrow_udf(score, "w double, root double")(F.col(text_col)).alias("s"), *[row] * carry)
+    scored = rows.join(F.broadcast(sample), F.col("id") == F.col("__id"), "left")
+    w, root = F.col("s.w"), F.col("s.root")
+    return written(scored.select("id", w.alias("log_weight"), (w / root).alias("weight"), ((w + _gumbel("bits")) / root).alias("key"), F.col("__good").alias("good"), F.col("__held").alias("held"), *["row"] * carry), "weights")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = MOST_LABELS, lost: float = LOST) -> tuple[Model, DataFrame]:
-    """The model, and every document's log weight and perturbed key.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = MOST_LABELS, lost: float = LOST, carry: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and every document's log weight and perturbed key (with ``carry`` also its ``row``).
 
     The raw model counts the grams of all documents, the target model those of the labelled good
     ones (half of a sample of at most about ``most_labels`` labels). k is the number of documents
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     ratio = log_ratio(target, raw) if target.any() else np.zeros(BUCKETS)
-    scored = _scored(docs, sample, ratio, id_col, text_col)
+    scored = _scored(docs, sample, ratio, id_col, text_col, carry)
     low = scored.filter("good and held").agg(F.percentile_approx("weight", lost, 10_000)).first()[0]
     low = -math.inf if low is None else low
     k = scored.filter(F.col("weight") >= F.lit(float(low))).count()
@@ -170,24 +172,18 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     and of many log ratios don't compare. The noise comes from a hash of id and text, so reruns agree. Rows
     level with the k-th are all kept, repeated rows stand or fall together, a null or empty text
     weighs 0, null ids are kept as they are, and empty tables give no row. Labels may be null,
-    missing or contradict each other.
+    missing or contradict each other. Other columns aren't read, so their names don't matter. A
+    text is the least that a task holds: about 40 times its bytes while its grams are counted.
     """
     model, scored = fit(docs, labels, **options)
     return scored.filter(F.col("key") >= F.lit(model.cut)).select(F.col("id").alias("doc_id"), "log_weight", "key", F.lit(True).alias("keep"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that :func:`resample` keeps, with all their columns."""
-    model, _ = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    given = docs.sparkSession.sparkContext.broadcast(model.ratio)
-    place = [c.lower() for c in docs.columns].index(text_col.lower())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _noise_bits(id_col, text_col).alias("bits"))
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that :func:`resample` keeps, with all their columns; odd rows are treated as there.
 
-    def run(batches):
-        for batch in batches:
-            row, bits = batch.column("row"), batch.column("bits")
-            for part in slices(pa.RecordBatch.from_arrays([row, bits, row.field(place)], ["row", "bits", "t"]), "t"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("bits"), *map(pa.array, weights_and_roots(part.column("t"), given.value))], ["row", "bits", "w", "root"])
-
-    kept = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("w", DoubleType()), StructField("root", DoubleType())]))
-    return kept.filter((F.col("w") + _gumbel("bits")) / F.col("root") >= F.lit(model.cut)).select("row.*")
+    The rows are written once beside their keys, so no text is scored twice or sent back by Python.
+    Columns of any name are kept. Rows level with the k-th key are all kept.
+    """
+    model, scored = fit(docs, labels, carry=True, **options)
+    return scored.filter(F.col("key") >= F.lit(model.cut)).select("row.*")
