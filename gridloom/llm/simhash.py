@@ -25,12 +25,13 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     if not n:
         return 0
     if n <= words:
-        return _most(np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)], np.uint64), 1)
+        return majority(np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)], np.uint64), 1)
     shingles = map(b" ".join, zip(*(found[k : n - words + 1 + k] for k in range(words)), strict=True))
-    return _most(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n - words + 1), n - words + 1)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n - words + 1), n - words + 1)
 
 
-def _most(hashes: np.ndarray, n: int) -> int:
+def majority(hashes: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes."""
     counts = np.zeros(64, np.int64)
     rows = hashes.view(np.uint8).reshape(-1, 8)
     for k in range(0, n, _BLOCK):

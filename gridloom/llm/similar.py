@@ -1,4 +1,9 @@
-"""Groups of similar texts: every pair of shingle sets at a Jaccard similarity, found by prefixes and verified."""
+"""Near-duplicates at a Jaccard similarity: SimHash links first, then the pairs that SimHash can't see.
+
+SimHash (:mod:`gridloom.llm.simhash`) links sets whose fingerprints differ in few bits. Sets at a
+similarity of 0.8 differ in more bits than a multi-index search can afford to enumerate, so
+the rest is found by shingles: similar sets share one of the first hashes of any order.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +13,26 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import slices, strings, written
+from gridloom.llm import simhash
+from gridloom.llm._base import sent, slices, strings, written
 from gridloom.llm.components import connected_components
-from gridloom.llm.simhash import _LOWER
 
 #: About as many rows show which shingles are common, and at most this many of those are sent out.
 MOST_SAMPLED, MOST_COMMON = 20_000, 200_000
 #: Rows of the sample from which on a shingle counts as common.
 COMMON = 8
-#: Pairs given out at once.
-_PAIRS = 1 << 18
-_SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Sets of each meeting that are paired with all others at first.
+HEADS = 4
+#: Pairs of one set that a copy of it is sent to for verification.
+_PAIRS_A_COPY = 256
 
 
 def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted hashes of a text's shingles: A-Z lowered, words split at ASCII blanks; a shorter text is one shingle."""
-    found = text.translate(_LOWER).split()
+    found = text.translate(simhash._LOWER).split()
     n = len(found)
     if n <= words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)] if n else [], np.uint64)
@@ -34,13 +40,29 @@ def shingle_set(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n - words + 1))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's hashes, rare ones first, of which similar sets share one at least."""
+def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first of a set's hashes, rare ones first, of which similar sets share one at least; how many of them are rare."""
     times = np.zeros(len(found), np.int64)
     if len(common) and len(found):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         times = np.where(common[at] == found, count[at], 0)
-    return found[np.lexsort((found, times))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+    first = np.lexsort((found, times))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+    return found[first], int((times[first] == 0).sum())
+
+
+def parity(found: np.ndarray) -> bytes:
+    """A bit for each of 2**k classes of hashes, k by the size of the set: whether it has an odd number of them."""
+    size = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The least number of hashes by which two sets of these parities differ; the finer one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
 
 
 def _sets(docs: DataFrame, row_col: str, text_col: str, schema: str, make) -> DataFrame:
@@ -77,64 +99,57 @@ def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) ->
     return h[order], n[order]
 
 
-def _runs(batches):
-    """Columns of each run of two rows or more with equal ``h``; a run may go on in the next batch."""
-    kept = None
+def _repeated(batches):
+    """The rows, sorted by ``h``, whose ``h`` isn't alone; one row waits for the next batch."""
+    last, met = None, False
     for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
-        starts = np.append(0, np.flatnonzero(now[0][1:] != now[0][:-1]) + 1)
-        kept = [c[starts[-1] :].copy() for c in now]
-        ends = starts[1:]
-        for a, b in zip(starts[:-1][np.diff(starts) > 1], ends[np.diff(starts) > 1], strict=True):
-            yield [c[a:b] for c in now]
-    if kept is not None and len(kept[0]) > 1:
-        yield kept
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([last, now]).combine_chunks() if last is not None else now
+        if not len(now):
+            continue
+        h = now.column("h").to_numpy()
+        keep = np.zeros(len(h), bool)
+        keep[1:] = h[1:] == h[:-1]
+        keep[:-1] |= keep[1:]
+        keep[0] |= met
+        last, met = now.slice(len(h) - 1), bool(keep[-1])
+        yield from now.slice(0, len(h) - 1).filter(pa.array(keep[:-1])).to_batches()
+    if met:
+        yield from last.to_batches()
+
+
+def _small_hash(d: Column) -> Column:
+    """The least of the hashes by which heads are chosen: heads of large groups are small by it."""
+    return F.least(*[F.xxhash64(F.lit(i), d) for i in range(HEADS)])
+
+
+def _can_be_similar(similarity: float) -> Column:
+    """Whether sizes and what follows the first hash that sets a and b share allow the similarity."""
+    few, many = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    part = similarity / (1 + similarity)
+    return (few >= F.lit(similarity) * many - 1e-6) & (rest >= F.lit(part) * (F.col("a.n") + F.col("b.n")) - 1e-6)
 
 
-def _repeated(batches):
-    """The rows of such runs, some thousands at once."""
-    held, n = [], 0
-    close = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["h", "d", "pos", "n"])
-    for run in _runs(batches):
-        held.append(run)
-        n += len(run[0])
-        if n >= _PAIRS:
-            yield close()
-            held, n = [], 0
-    if held:
-        yield close()
-
-
-def _candidates(similarity: float, complete: bool):
-    """Pairs (u, v) of different groups within a run that can be similar: all, or those with four of its sets.
-
-    Sizes bound the similarity. At the first hash that two sets share, what follows it bounds the overlap.
-    """
-    part = similarity / (1 + similarity)
+def _pairs(a: DataFrame, b: DataFrame, other: Column, similarity: float) -> DataFrame:
+    """Distinct (u, v) of rows of a and b that meet at a hash; u is the one with the smaller hash."""
+    met = a.alias("a").join(b.alias("b"), (F.col("a.h") == F.col("b.h")) & other & _can_be_similar(similarity))
+    return _in_order(met.select(F.col("a.d").alias("x"), F.col("b.d").alias("y")))
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    swap = F.struct(_small_hash(F.col("x")), F.col("x")) > F.struct(_small_hash(F.col("y")), F.col("y"))
+    return pairs.filter("x <> y").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("u"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("v")).distinct()
+
+
+def _bounded(similarity: float):
+    """The pairs whose parities leave room for the similarity: sets of n and m that differ in k share (n + m - k) / 2 at most."""
 
     def run(batches):
-        held, n = [], 0
-        close = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), axis=0).T.copy()], ["u", "v"])
-        for _, d, pos, size, g in _runs(batches):
-            if complete:
-                names, which, many = np.unique(g, return_inverse=True, return_counts=True)
-                heads = np.flatnonzero(which != many.argmax())
-            else:
-                heads = np.unique([int((d.view(np.uint64) * s).argmin()) for s in _SALTS])
-            for k in heads:
-                fit = (g != g[k]) & (np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]) - 1e-6)
-                fit &= np.minimum(size - pos, size[k] - pos[k]) >= part * (size + size[k]) - 1e-6
-                other = d[fit]
-                if len(other):
-                    held.append(np.stack([np.minimum(other, d[k]), np.maximum(other, d[k])], axis=1))
-                    n += len(other)
-                if n >= _PAIRS:
-                    yield close()
-                    held, n = [], 0
-        if held:
-            yield close()
+        for batch in batches:
+            n, differ = (batch.column("n").to_numpy() + batch.column("m").to_numpy()), np.fromiter(map(least_difference, batch.column("a").to_pylist(), batch.column("b").to_pylist()), np.int64, batch.num_rows)
+            fit = (n - differ) * (1 + similarity) >= 2 * similarity * n - 1e-6
+            yield batch.select(["u", "v"]).filter(pa.array(fit))
 
     return run
 
@@ -144,42 +159,73 @@ def groups(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5
 
     Two texts are similar if the Jaccard similarity of their sets of ``words``-word shingles (by
     64-bit hash) is ``similarity`` or more; equal sets, empty ones too, are. ``row_col`` must be
-    unique and the table stay as it is between readings. No similar pair of sets is left out
-    other than within a group: sets this similar share one of the first hashes of any order, where
-    they meet; four sets of each meeting are paired with all others first, then all sets that
-    are still in different groups. Each link is verified on the whole sets. Copies are never paired.
+    unique and the table stay as it is between readings. Repeated rows and null or blank texts are
+    grouped like any other; an empty table gives no row; other columns aren't read. A task holds
+    one text and its hashes at least.
+
+    Candidates are first what SimHash links, and at each hash that several sets have among their
+    first ones, four of them with all others; then, of sets still in different groups, all that
+    meet at a hash, except those of the group that has most sets there. No similar pair is left out
+    other than within a group. Sizes, places and parity bits of the sets bound the similarity of
+    a candidate; what passes is verified on the whole sets. Copies are never paired. Hashes known to be
+    common aren't gathered by a shuffle to find out that they are; joins by hash are left to skew
+    handling, and a set with many candidates is copied for every few hundred of them.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(common_shingles(docs, row_col, text_col, words))
+    given = spark.sparkContext.broadcast(common_shingles(docs, row_col, text_col, words))
     digest = lambda x: xxhash.xxh64_intdigest(x.tobytes(), 1)
 
     def firsts(rows, texts):
         sets = [shingle_set(t, words) for t in texts]
+        first = [prefix(x, *given.value, similarity) for x in sets]
         d = pa.array(np.array([digest(x) for x in sets], np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([rows, d, pa.array(np.array([*map(len, sets)], np.int64)), _lists([prefix(x, *sent.value, similarity) for x in sets])], ["row", "d", "n", "p"])
+        fp = pa.array(np.array([simhash.majority(x, len(x)) if len(x) else 0 for x in sets], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([rows, d, pa.array(np.array([*map(len, sets)], np.int64)), fp, pa.array([parity(x) for x in sets], pa.binary()), _lists([p[:k] for p, k in first]), _lists([p[k:] for p, k in first])], ["row", "d", "n", "fp", "odd", "rare", "usual"])
 
     def whole(_, texts):
         sets = [shingle_set(t, words) for t in texts]
         return pa.RecordBatch.from_arrays([pa.array(np.array([digest(x) for x in sets], np.uint64).view(np.int64)), _lists(sets)], ["d", "x"])
 
-    marked = written(_sets(docs, row_col, text_col, "row long, d long, n long, p array<long>", firsts), "prefixes")
-    one = written(marked.groupBy("d").agg(F.min("row").alias("row")), "distinct")
-    places = marked.join(one.select("row"), "row", "left_semi").select(F.posexplode("p").alias("pos", "h"), "d", "n").select("h", "d", F.col("pos").cast("long").alias("pos"), "n")
-    met = written(places.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, d long, pos long, n long"), "met")
-
-    def links(rows: DataFrame, complete: bool) -> DataFrame:
-        pairs = written(rows.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(similarity, complete), "u long, v long").distinct(), "pairs")
+    marked = written(_sets(docs, row_col, text_col, "row long, d long, n long, fp long, odd binary, rare array<long>, usual array<long>", firsts), "sets")
+    one = written(marked.groupBy("d").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("fp").alias("fp")), "distinct")
+    copies = written(marked.select("row", "d").join(one.filter("copies > 1").select("d", F.col("row").alias("first")), "d").filter("row <> first").select("row"), "copies")
+    single = marked.join(sent(copies), "row", "left_anti")
+    rare = single.select(F.posexplode("rare").alias("pos", "h"), "d", "n").select("h", "d", F.col("pos").cast("long").alias("pos"), "n")
+    rare = rare.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, d long, pos long, n long")
+    usual = single.select(F.posexplode("usual").alias("pos", "h"), F.size("rare").alias("before"), "d", "n").select("h", "d", (F.col("pos") + F.col("before")).cast("long").alias("pos"), "n")
+    met = written(rare.union(usual), "met")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        odd = single.select("d", "n", "odd")
+        pairs = written(pairs, "pairs")
+        sized = pairs.join(odd.select(F.col("d").alias("u"), "n", F.col("odd").alias("a")), "u").join(odd.select(F.col("d").alias("v"), F.col("n").alias("m"), F.col("odd").alias("b")), "v")
+        pairs = written(sized.select("u", "v", "n", "m", "a", "b").mapInArrow(_bounded(similarity), "u long, v long"), "bounded")
         ends = pairs.select(F.col("u").alias("d")).union(pairs.select("v")).distinct()
-        few = one.join(ends, "d", "left_semi").select(F.col("row").alias(row_col))
-        # Keys only are sent out, so that the texts of all rows aren't shuffled.
-        sets = written(_sets(docs.join(F.broadcast(few), row_col, "left_semi"), row_col, text_col, "d long, x array<long>", whole), "sets")
-        both = pairs.join(sets.select(F.col("d").alias("u"), "x"), "u").join(sets.select(F.col("d").alias("v"), F.col("x").alias("y")), "v")
+        few = written(one.join(ends, "d", "left_semi").select(F.col("row").alias(row_col)), "asked")
+        sets = written(_sets(docs.join(sent(few), row_col, "left_semi"), row_col, text_col, "d long, x array<long>", whole), "asked-sets")
+        load = pairs.groupBy("u").agg(F.ceil(F.count("*") / _PAIRS_A_COPY).cast("int").alias("times"))
+        spread = pairs.join(load, "u").select("u", "v", F.pmod(F.xxhash64("v"), "times").cast("int").alias("s"))
+        heads = sets.select(F.col("d").alias("u"), "x").join(load, "u").select("u", "x", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("s"))
+        both = spread.join(heads, ["u", "s"]).join(sets.select(F.col("d").alias("v"), F.col("x").alias("y")), "v")
         shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
         return written(shared.filter(F.col("k") / (F.col("n") - F.col("k")) >= F.lit(similarity)).select("u", "v"), "links")
 
-    stars = links(met.withColumn("g", F.col("d")), False)
+    # What SimHash links, by way of one set a fingerprint.
+    prints = written(one.groupBy("fp").agg(F.min("d").alias("d")), "prints")
+    name = lambda c, to: prints.select(F.col("fp").alias(c), F.col("d").alias(to))
+    seen = simhash.links(prints.select("fp")).join(name("u", "x"), "u").join(name("v", "y"), "v").select("x", "y")
+    seen = seen.union(one.select("fp", F.col("d").alias("x")).join(name("fp", "y"), "fp").filter("x <> y").select("x", "y"))
+
+    least = [F.min(F.xxhash64(F.lit(i), "d")).alias(f"m{i}") for i in range(HEADS)]
+    is_head = F.greatest(*[F.xxhash64(F.lit(i), F.col("d")) == F.col(f"m{i}") for i in range(HEADS)])
+    heads = met.join(met.groupBy("h").agg(*least), "h").filter(is_head).select("h", "d", "pos", "n")
+    stars = links(_in_order(seen).union(_pairs(met, written(heads, "heads"), F.col("a.d") != F.col("b.d"), similarity)).distinct())
     near = written(connected_components(stars), "components")
-    rest = links(met.join(near, F.col("d") == F.col("node"), "left").select("h", "d", "pos", "n", F.coalesce("component", "d").alias("g")), True)
+
+    grouped = written(met.join(near, F.col("d") == F.col("node"), "left").select("h", "d", "pos", "n", F.coalesce("component", "d").alias("g")), "grouped")
+    most = grouped.groupBy("h", "g").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("several")).filter("several > 1").select("h", F.col("m.g").alias("most"))
+    open_ = written(grouped.join(most, "h"), "open")
+    rest = links(_pairs(open_.filter("g <> most"), open_, F.col("a.g") != F.col("b.g"), similarity))
     if rest.take(1):
         near = written(connected_components(stars.union(rest)), "components")
-    return marked.join(near, F.col("d") == F.col("node"), "left").select("row", F.coalesce("component", "d").alias("g"))
+    return marked.select("row", "d").join(near, F.col("d") == F.col("node"), "left").select("row", F.coalesce("component", "d").alias("g"))

@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
 
-from gridloom.llm import mixing, packing, resampling, simhash
+from gridloom.llm import mixing, packing, resampling
 from gridloom.llm.entry import tokenizer
+from test_similar import slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +28,8 @@ def test_stages(spark, stages):
     ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
     kept = {r.doc_id for r in resampling.resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert ids(good) == Counter(kept)
-    assert ids(single) == Counter({r.component_id for r in simhash.near_duplicates(good).collect()})
+    rows = sorted((r.doc_id, r.text) for r in good.collect())
+    assert ids(single) == Counter({rows[g][0] for g in slow_groups([t for _, t in rows])})
     want = Counter({r.doc_id: r.taken // r.size for r in mixing.mixture(single).collect() if r.size})
     assert +ids(mixed) == +want
     tokens = Counter()

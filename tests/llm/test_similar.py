@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 
 from gridloom.llm import similar
 
@@ -65,6 +66,24 @@ def test_groups_of_random_texts(spark):
     check(spark, texts, 3, 0.5)
 
 
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(0)
+    for n, m, k in ((3, 1, 0), (60, 70, 50), (500, 700, 480), (5000, 4100, 4000)):
+        own = r.integers(0, 1 << 63, n + m - k, dtype=np.uint64)
+        a, b = np.unique(own[:n]), np.unique(own[n - k :])
+        least = similar.least_difference(similar.parity(a), similar.parity(b))
+        assert least == similar.least_difference(similar.parity(b), similar.parity(a)) <= n + m - 2 * k
+        assert 3 * least >= n + m - 2 * k
+
+
+def test_a_crowd_around_one_set(spark):
+    """One set that is paired with more sets than a copy of it is sent for; links that only SimHash or only shingles show."""
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join([*base[:i], f"x{i}{k}", *base[i:]]) for i in range(0, 120, 3) for k in range(15)]
+    want = check(spark, texts)
+    assert len(texts) > 2 * similar._PAIRS_A_COPY and len(want) == 1
+
+
 def test_similarity_at_the_bound(spark):
     """Sets of 4 and 5 shingles that share 4, which is 0.8, and one less."""
     assert len(check(spark, ["a b c d e f g h", "a b c d e f g h i"])) == 1
