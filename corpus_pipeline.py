@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, packing, resampling, similar
-from gridloom.llm._base import written
+from gridloom.llm._base import sent, written
 from gridloom.llm.entry import tokenizer
 
 
@@ -23,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, which share 0.8 or more of their five-word shingles (Jaccard).
 
+    Links are those of SimHash, verified, and those that it can't see: see :func:`gridloom.llm.similar.groups`.
     It is the row with the smallest doc_id, a null one last; of several, that with the smallest
     hash of the text. Rows are told apart by a written key, so repeated and null ids are no matter.
     """
@@ -31,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = written(similar.groups(keyed, "__row").join(keyed.select(F.col("__row").alias("row"), tie.alias("tie")), "row"), "groups")
     first = marked.groupBy("g").agg(F.min("tie").alias("first"))
     gone = marked.join(first, "g").filter("row <> first.row").select(F.col("row").alias("__row"))
-    return keyed.join(F.broadcast(written(gone, "gone")), "__row", "left_anti").select(*docs.columns)
+    return keyed.join(sent(written(gone, "gone")), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
