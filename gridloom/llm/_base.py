@@ -6,8 +6,11 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,11 @@ MOST_SENT = 1_000_000
 #: Bytes of text that one numpy pass works on; arrays of a pass are a few times this.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = 8 << 20
+
 _made: set[str] = set()
+_here: ContextVar[list[str] | None] = ContextVar("_here", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +49,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not _made:
         atexit.register(_clean)
     _made.add(path)
+    if (here := _here.get()) is not None:
+        here.append(path)
     return path
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the scratch tables written meanwhile at the end, but for those that are passed to the function given."""
+    made: list[str] = []
+    kept: set[str] = set()
+    before = _here.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _here.reset(before)
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
+        if (outer := _here.get()) is not None:
+            outer.extend(x for x in made if x in kept)
+
+
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
     for path in list(_made) if spark else []:
@@ -66,7 +97,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, after the session's limit on the bytes of an Arrow batch is lowered to ``BATCH_BYTES`` if it's above."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name).lower()
+    n = re.fullmatch(r"(-?\d+)([kmgt]?)b?", now)
+    size = int(n[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[n[2]] if n else -1
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
 
 
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import scratch, slices, strings, written
+from gridloom.llm._base import bounded, scratch, slices, strings, written
 from gridloom.llm.fasttok import SLICE_BYTES, Encoder
 
 MAGIC = b"GLPLANE1"
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     the files of finished attempts are listed. An empty table gives no shard or an empty one.
     Other columns aren't read, so their names don't matter.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")
     at = path.rstrip("/")
 

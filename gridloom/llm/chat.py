@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import strings, written
+from gridloom.llm._base import bounded, strings, written
 
 OPEN, HEAD, MID, END = b"<s>", b"[TURN ", b"]\n", b"</s>\n"
 FORMATTED = "conv_id long, part long, text string, n_turns int, loss_start array<int>, loss_chars array<int>"
@@ -162,7 +162,7 @@ def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     task sorts on disk where needed and holds a few MB of turns. The result is a written table; of
     it, the driver gets the first and last conversation of each partition.
     """
-    rows = conversations.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = bounded(conversations).select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("c", "turn").sortWithinPartitions("c", "turn", "role", "text").select("c", "role", "text")
     made = written(rows.mapInArrow(_numbered, f"{FORMATTED}, opens boolean, first boolean, p int"), "formatted")
     one = F.struct("conv_id").alias("x")

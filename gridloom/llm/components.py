@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import written
+from gridloom.llm._base import tidy, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,11 +16,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     joins, so no neighbourhood is gathered, and it is written to the shared folder. Rows with a
     null end and loops are ignored; an empty table gives no row.
     """
+    with tidy(edges.sparkSession) as keep:
+        return _settled(edges, most_rounds, keep)
+
+
+def _settled(edges: DataFrame, most_rounds: int, keep) -> DataFrame:
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last or not state[0]:
+            keep(now)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         last = state
         both = now.union(now.select("v", "u"))

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import slices
+from gridloom.llm._base import bounded, slices
 from gridloom.llm.fasttok import SLICE_BYTES, Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("k", "t"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("k", "t"))
     rows = rows.repartition("h").sortWithinPartitions("h").select("k", "t")
 
     def run(batches):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import slices, written
+from gridloom.llm._base import bounded, slices, written
 from gridloom.llm.textcut import cut
 
 #: Buckets of n-gram hashes; a model is a vector of this many counts.
@@ -123,7 +123,7 @@ def _scored(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, id_col: str,
         return pa.StructArray.from_arrays([pa.array(x) for x in both], ["w", "root"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), _noise_bits(id_col, text_col).alias("bits"), F.arrow_udf(score, "w double, root double")(F.col(text_col)).alias("s"), *[row] * carry)
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), _noise_bits(id_col, text_col).alias("bits"), F.arrow_udf(score, "w double, root double")(F.col(text_col)).alias("s"), *[row] * carry)
     scored = rows.join(F.broadcast(sample), F.col("id") == F.col("__id"), "left")
     w, root = F.col("s.w"), F.col("s.root")
     return written(scored.select("id", w.alias("log_weight"), (w / root).alias("weight"), ((w + _gumbel("bits")) / root).alias("key"), F.col("__good").alias("good"), F.col("__held").alias("held"), *["row"] * carry), "weights")
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``lost`` of the held-out good ones; without any, all are kept.
     """
     sample = labelled_sample(labels, id_col, quality_col, most_labels)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     rows = rows.join(F.broadcast(sample), F.col("id") == F.col("__id"), "left").select("t", F.coalesce(F.col("__good") & ~F.col("__held"), F.lit(False)).alias("target"))
 
     def count(batches):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import slices, strings, written
+from gridloom.llm._base import bounded, slices, strings, tidy, written
 from gridloom.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 bits = np.array([fingerprint(x) for x in strings(part.column("t")).cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(bits.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
 
 def tree_edges(values: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -147,6 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group in which all are null has a null component. Repeated rows stay, an empty
     table gives no row, and other columns aren't read.
     """
+    with tidy(docs.sparkSession) as keep:
+        return keep(written(_components(docs, id_col, text_col), "components"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     groups = written(connected_components(links(distinct.select("fp"))), "components")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import scratch, slices, written
+from gridloom.llm._base import bounded, scratch, slices, written
 
 #: Numbers of the seekable format: the skippable frame that holds the seek table, and its footer.
 TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -108,7 +108,7 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     """
     again = repeated_payloads(pages, id_col, html_col, least_bytes)
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).alias("u"), html.alias("t"), F.sha2(html.cast("binary"), 256).alias("d"))
+    rows = bounded(pages).select(F.col(id_col).cast("long").alias("k"), F.col(url_col).alias("u"), html.alias("t"), F.sha2(html.cast("binary"), 256).alias("d"))
     rows = rows.join(again, F.col("d") == F.col("digest"), "left").select("k", "u", "t", "d", "first", (F.col("first").isNotNull() & ~F.col("k").eqNullSafe(F.col("first"))).alias("again"))
     at = path.rstrip("/")
 
