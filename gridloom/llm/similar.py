@@ -13,18 +13,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import simhash
-from gridloom.llm._base import sent, slices, strings, written
+from gridloom.llm._base import bounded, sent, slices, strings, tidy, written
 from gridloom.llm.components import connected_components
 
-#: About as many rows show which shingles are common, and at most this many of those are sent out.
-MOST_SAMPLED, MOST_COMMON = 20_000, 200_000
+#: A tenth of the rows, but about so many at least, show which shingles are common; at most so many of those are sent out.
+SHARE, LEAST_SAMPLED, MOST_COMMON = 0.1, 100_000, 1_000_000
 #: Rows of the sample from which on a shingle counts as common.
-COMMON = 8
-#: Sets of each meeting that are paired with all others at first.
+COMMON = 4
+#: Sets of each meeting that are paired with others at first, and pairs that a set is in by that.
 HEADS = 4
 #: Pairs of one set that a copy of it is sent to for verification.
 _PAIRS_A_COPY = 256
@@ -73,7 +73,7 @@ def _sets(docs: DataFrame, row_col: str, text_col: str, schema: str, make) -> Da
             for part in slices(batch, "t"):
                 yield make(part.column("row"), strings(part.column("t")).cast(pa.binary()).to_pylist())
 
-    return docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(row_col).alias("row"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -82,11 +82,12 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the commonest shingles of a sample.
+    """Hashes, sorted, and counts of the commonest shingles of a sample of rows, which grows with the table.
 
-    They only set an order, in which any shingle may stand anywhere, so the sample bears on speed alone.
+    They only set an order, in which any shingle may stand anywhere, so the sample bears on speed alone:
+    the rarer the first hashes of a set are, the fewer sets it meets.
     """
-    share = min(1.0, MOST_SAMPLED / max(1, docs.count()))
+    share = min(1.0, max(SHARE, LEAST_SAMPLED / max(1, docs.count())))
     some = docs.filter(F.shiftrightunsigned(F.xxhash64(row_col), 12) / F.lit(float(1 << 52)) < share)
 
     def make(_, texts):
@@ -163,14 +164,19 @@ def groups(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5
     grouped like any other; an empty table gives no row; other columns aren't read. A task holds
     one text and its hashes at least.
 
-    Candidates are first what SimHash links, and at each hash that several sets have among their
-    first ones, four of them with all others; then, of sets still in different groups, all that
+    Candidates are first what SimHash links, and each set with four of those that head the hashes
+    which it and others have among their first ones; then, of sets still in different groups, all that
     meet at a hash, except those of the group that has most sets there. No similar pair is left out
     other than within a group. Sizes, places and parity bits of the sets bound the similarity of
     a candidate; what passes is verified on the whole sets. Copies are never paired. Hashes known to be
     common aren't gathered by a shuffle to find out that they are; joins by hash are left to skew
     handling, and a set with many candidates is copied for every few hundred of them.
     """
+    with tidy(docs.sparkSession) as keep:
+        return keep(written(_grouped(docs, row_col, text_col, words, similarity), "groups"))
+
+
+def _grouped(docs: DataFrame, row_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     given = spark.sparkContext.broadcast(common_shingles(docs, row_col, text_col, words))
     digest = lambda x: xxhash.xxh64_intdigest(x.tobytes(), 1)
@@ -219,7 +225,9 @@ def groups(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5
     least = [F.min(F.xxhash64(F.lit(i), "d")).alias(f"m{i}") for i in range(HEADS)]
     is_head = F.greatest(*[F.xxhash64(F.lit(i), F.col("d")) == F.col(f"m{i}") for i in range(HEADS)])
     heads = met.join(met.groupBy("h").agg(*least), "h").filter(is_head).select("h", "d", "pos", "n")
-    stars = links(_in_order(seen).union(_pairs(met, written(heads, "heads"), F.col("a.d") != F.col("b.d"), similarity)).distinct())
+    starred = _pairs(met, written(heads, "heads"), F.col("a.d") != F.col("b.d"), similarity)
+    place = F.row_number().over(Window.partitionBy("v").orderBy(_small_hash(F.col("u"))))  # a set has few heads for each of its hashes
+    stars = links(_in_order(seen).union(starred.withColumn("k", place).filter(F.col("k") <= HEADS).drop("k")).distinct())
     near = written(connected_components(stars), "components")
 
     grouped = written(met.join(near, F.col("d") == F.col("node"), "left").select("h", "d", "pos", "n", F.coalesce("component", "d").alias("g")), "grouped")
