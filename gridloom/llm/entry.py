@@ -28,7 +28,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    """Words and tokens of all documents under a synthetic unigram model: Zipf's law over the pieces of a public file."""
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokencount.unigram_pieces(tokenizer("piece_bpe_32k.model")))
 
 
 def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import slices
+from gridloom.llm._base import bounded, release, slices
 from gridloom.llm.textcut import cut
 
 #: Log probability that a byte outside the vocabulary costs beyond the rarest piece.
 UNKNOWN = 10.0
+#: Nodes of a task's trie, of about 200 bytes each, from which on it begins anew.
+MOST_NODES = 250_000
 
 
 def unigram_pieces(model_file: str) -> dict[str, float]:
-    """The pieces of a public sentencepiece file with log probabilities by Zipf's law of their order."""
+    """A synthetic unigram model: the pieces of a public sentencepiece file with log probabilities by Zipf's law of their order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -26,86 +28,96 @@ def unigram_pieces(model_file: str) -> dict[str, float]:
     return {x: -math.log(k + 1) - total for k, x in enumerate(pieces)}
 
 
-class Counter:
-    """Counts a word's tokens on the best path of the unigram model.
+class Trie:
+    """Pre-tokens in a trie whose nodes hold the forward score and the tokens of their prefix on its best path.
 
-    The distinct words of a batch are visited in sorted order, which is the order of a walk over their trie:
-    the stack holds the nodes of the current path, each with its forward score and count, so a
-    shared prefix is scored once; a word's count is stored at its last node. Among equal scores
-    the fewest tokens win. A sign without piece counts its UTF-8 bytes.
+    A node is scored when it's made, from the nodes on its path, so a prefix that words share is
+    scored once; the count of a word is that of its last node. Pieces are tried from a place
+    backwards, along a trie of the reversed pieces, as far as one can end there. Among equal
+    scores the fewest tokens win. A sign without piece counts its UTF-8 bytes.
     """
 
-    _open: dict[str, Counter] = {}
-
-    def __init__(self, pieces: dict[str, float], mark: str = "▁", remembered: int = 500_000):
-        self.pieces, self.mark, self.remembered = pieces, mark, remembered
+    def __init__(self, pieces: dict[str, float], mark: str = "▁", most: int = MOST_NODES):
+        self.mark, self.most, self.made = mark, most, 0
         self.least = min(pieces.values(), default=0.0) - UNKNOWN
-        self.longest: dict[str, int] = {}
-        for x in pieces:
-            self.longest[x[-1]] = max(len(x), self.longest.get(x[-1], 1))
-        self.known: dict[str, int] = {}
-        self.nodes = 0
-
-    @classmethod
-    def of(cls, model_file: str) -> Counter:
-        if model_file not in cls._open:
-            cls._open[model_file] = cls(unigram_pieces(model_file))
-        return cls._open[model_file]
+        self.backwards: dict = {}
+        for piece, p in pieces.items():
+            at = self.backwards
+            for sign in reversed(piece):
+                at = at.setdefault(sign, {})
+            at[""] = p
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # by node and sign
+        self.score, self.tokens = [0.0], [0]
 
     def count(self, words: list[str]) -> np.ndarray:
-        fresh = sorted(w for w in set(words) if w not in self.known)
-        found = self._walk(fresh)
-        if len(self.known) + len(found) <= self.remembered:
-            self.known.update(found)
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return np.fromiter((found[w] if w in found else self.known[w] for w in words), np.int64, len(words))
-
-    def _walk(self, words: list[str]) -> dict[str, int]:
-        pieces, longest, least, out = self.pieces, self.longest, self.least, {}
-        path, score, tokens = "", [0.0], [0]
-        for word in words:
-            text = self.mark + word
-            n, m = len(text), min(len(path), len(text))
-            d = 0
-            while d < m and path[d] == text[d]:
-                d += 1
-            del score[d + 1 :], tokens[d + 1 :]
-            self.nodes += n - d
-            for end in range(d + 1, n + 1):
-                last = text[end - 1]
-                size = len(last.encode())
-                best, fewest = score[end - 1] + least * size, tokens[end - 1] + size
-                for start in range(max(0, end - longest.get(last, 0)), end):
-                    p = pieces.get(text[start:end])
-                    if p is not None:
-                        s, t = score[start] + p, tokens[start] + 1
-                        if s > best or (s == best and t < fewest):
-                            best, fewest = s, t
-                score.append(best)
-                tokens.append(fewest)
-            path = text
-            out[word] = tokens[n]
+        """Tokens of each word. The trie is kept for later words until it has too many nodes."""
+        out = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            out[i] = self.tokens[self._insert(self.mark + word)]
+            if len(self.score) > self.most:
+                self.clear()
         return out
 
+    def _insert(self, text: str) -> int:
+        """The node of a text; new nodes are made where it leaves the trie."""
+        child, scores, tokens = self.child, self.score, self.tokens
+        node, n, path, before = 0, len(text), [0], [0.0]
+        for sign in text:
+            found = child.get(node << 21 | ord(sign))
+            if found is None:
+                break
+            node = found
+            path.append(node)
+            before.append(scores[node])
+        for end in range(len(path), n + 1):
+            sign = text[end - 1]
+            size = len(sign.encode())
+            best, fewest = before[end - 1] + self.least * size, tokens[path[end - 1]] + size
+            at, start = self.backwards, end - 1
+            while start >= 0 and (at := at.get(text[start])) is not None:
+                if (p := at.get("")) is not None:
+                    s = before[start] + p
+                    if s >= best:
+                        t = tokens[path[start]] + 1
+                        if s > best or t < fewest:
+                            best, fewest = s, t
+                start -= 1
+            child[node << 21 | ord(sign)] = node = len(scores)
+            scores.append(best)
+            tokens.append(fewest)
+            path.append(node)
+            before.append(best)
+            self.made += 1
+        return node
+
 
-def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens) for every row, over whole texts.
+def token_counts(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_tokens) for every row, over whole texts, under the unigram model of ``pieces``.
 
     A pre-token is a run of signs other than ASCII blanks, with a word mark before it. Each task
-    scores each distinct pre-token of a batch once; nothing is shuffled. A null, empty or blank
-    text has 0 of both; null ids and repeated rows stay; other columns aren't read.
+    keeps a trie of the pre-tokens it has met and looks up each distinct one of a slice in it; nothing is
+    shuffled, and the pieces are sent to all tasks, so they should be a vocabulary and no corpus. A
+    null, empty or blank text has 0 of both; null ids and repeated rows stay; an empty table gives no
+    row; other columns aren't read. A task holds one text and a node for each sign of its
+    longest word at least.
     """
+    given = docs.sparkSession.sparkContext.broadcast(dict(pieces))
 
     def run(batches):
-        counter = Counter.of(model_file)
+        trie = Trie(given.value)
         for batch in batches:
             for part in slices(batch, "t"):
                 codes, distinct, firsts, _ = cut(part.column("t"), words=True)
                 found = distinct.to_pylist()
                 is_word = np.fromiter((x[0] not in " \t\n\r\x0b\x0c" for x in found), bool, len(found))
                 each = np.zeros(len(found), np.int64)
-                each[is_word] = counter.count([x for x, w in zip(found, is_word, strict=True) if w])
+                each[is_word] = trie.count([x for x, w in zip(found, is_word, strict=True) if w])
                 tokens, words = (np.diff(np.concatenate([[0], np.cumsum(x[codes])])[firsts]) if len(codes) else np.zeros(len(firsts) - 1, np.int64) for x in (each, is_word.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        del trie
+        release()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

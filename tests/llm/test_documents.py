@@ -202,17 +202,22 @@ def slow_count(word, pieces):
     return -best[-1][1]
 
 
-def test_token_counts(odd_docs, no_docs):
+def test_token_counts(docs, odd_docs, no_docs):
+    """Every document, the two very long ones too."""
     pieces = tokencount.unigram_pieces(tokenizer("piece_bpe_32k.model"))
-    got = Tally(map(tuple, tokencount.token_counts(odd_docs, tokenizer("piece_bpe_32k.model")).collect()))
-    want = Tally()
-    for r in odd_docs.collect():
-        words = WORD.findall(r.text or "") if len(r.text or "") < 60_000 else []
-        if words or len(r.text or "") < 60_000:
-            want[r.doc_id, len(words), sum(slow_count(w, pieces) for w in words)] += 1
-    rest = got - want
-    assert not want - got and {k[0] for k in rest} <= {70, 71}
-    assert tokencount.token_counts(no_docs, tokenizer("piece_bpe_32k.model")).count() == 0
+    longest, known = max(map(len, pieces)), {}
+    for df in (docs, odd_docs):
+        want = Tally()
+        for r in df.collect():
+            words = WORD.findall(r.text or "")
+            for w in set(words):
+                if w not in known:
+                    known[w] = bounded_count(w, pieces, longest)
+            want[r.doc_id, len(words), sum(known[w] for w in words)] += 1
+        assert Tally(map(tuple, tokencount.token_counts(df, pieces).collect())) == want
+    assert tokencount.token_counts(no_docs, pieces).count() == 0
+    short = [w for w in known if len(w) < 40][:300]
+    assert [known[w] for w in short] == [slow_count(w, pieces) for w in short]
 
 
 def bounded_count(word, pieces, longest):
@@ -227,28 +232,14 @@ def bounded_count(word, pieces, longest):
     return -best[-1][1]
 
 
-def test_token_counts_of_very_long_texts(odd_docs):
-    """The two texts of 60,000 characters or more, one of them a single word."""
-    pieces = tokencount.unigram_pieces(tokenizer("piece_bpe_32k.model"))
-    longest = max(map(len, pieces))
-    rows = [r for r in odd_docs.collect() if len(r.text or "") >= 60_000]
-    assert {r.doc_id for r in rows} == {70, 71}
-    want = set()
-    for r in rows:
-        words = Tally(WORD.findall(r.text))
-        want.add((r.doc_id, sum(words.values()), sum(bounded_count(w, pieces, longest) * n for w, n in words.items())))
-    long = odd_docs.filter("doc_id in (70, 71)")
-    assert set(map(tuple, tokencount.token_counts(long, tokenizer("piece_bpe_32k.model")).collect())) == want
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc ", max_size=7), max_size=8))
 def test_counts_by_trie(words):
     pieces = {"▁a": -1.0, "ab": -1.5, "b": -2.0, "▁": -2.0, "abc": -2.5, "c": -4.0, "bc": -3.0}
-    counter = tokencount.Counter(pieces, remembered=3)
-    assert list(counter.count(words)) == [slow_count(w, pieces) for w in words]
-    prefixes = {w[:k] for w in set(words) for k in range(1, len(w) + 1)}
-    assert counter.nodes <= len(prefixes) + 1
+    trie, small = tokencount.Trie(pieces), tokencount.Trie(pieces, most=4)
+    for part in (words, words[:3]):
+        assert list(trie.count(part)) == list(small.count(part)) == [slow_count(w, pieces) for w in part]
+    assert trie.made == len({"▁" + w[:k] for w in set(words) for k in range(len(w) + 1)}) == len(trie.score) - 1
 
 
 # -- 5: resampling --------------------------------------------------------------------------------
@@ -321,9 +312,10 @@ def test_kth_largest(spark):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name, docs, odd_docs):
-    encoder, plain = Encoder(tokenizer(name), remembered=500), Tokenizer.from_file(tokenizer(name))
+    encoder, plain = Encoder(tokenizer(name), remembered=200_000), Tokenizer.from_file(tokenizer(name))
     texts = [r.text for r in docs.select("text").limit(60).collect()] + [r.text for r in odd_docs.collect()]
-    for part in (texts, texts[::-1], [], [None]):
+    for part in (texts, texts[::-1], texts, [], [None]):
+        assert encoder.bytes <= 200_000
         flat, n = encoder.encode(pa.array(part, pa.string()), 9)
         at = 0
         for t, k in zip(part, n, strict=True):
@@ -331,11 +323,36 @@ def test_encoder_equals_the_library(name, docs, odd_docs):
             at += k
 
 
+_ENCODERS: list[Encoder] = []
+
+
+def test_no_encoder_outlives_its_task(spark, docs):
+    """Whatever ran in a worker before, it holds no encoder and no remembered chunks."""
+
+    def left(batches):
+        import gc
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(type(x).__name__ in ("Encoder", "Tokenizer", "Trie") and type(x).__module__.startswith(("gridloom", "tokenizers")) for x in gc.get_objects())], pa.int64())})
+
+    packing.packed_digests(docs, tokenizer("word_bpe_49k.json")).agg(F.sum("length")).collect()
+    bitplanes.token_file_digests(docs, tokenizer("byte_bpe_50k.json")).agg(F.sum("n_tokens")).collect()
+    tokencount.token_counts(docs, {"a": -1.0}).agg(F.sum("n_tokens")).collect()
+    assert {r.n for r in spark.range(0, 40, 1, 16).mapInArrow(left, "n long").collect()} == {0}
+
+
+def test_files_are_read_back_by_bytes():
+    parts = list(bitplanes._batches(np.full(1000, 25_000)))
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and parts[0][0] == 0 and parts[-1][1] == 1000
+    assert all(4 * 25_000 * (b - a) <= bitplanes.BATCH_BYTES for a, b in parts)
+    assert list(bitplanes._batches(np.array([1, 5_000_000, 1, 1]))) == [(0, 1), (1, 2), (2, 4)] and not list(bitplanes._batches(np.zeros(0, np.int64)))
+    assert list(bitplanes._batches(np.ones(2500, np.int64))) == [(0, 1000), (1000, 2000), (2000, 2500)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab é,.\n\t'!1<| 　\x1c"), max_size=12), max_size=5))
 def test_cuts_are_safe(texts):
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        encoder = Encoder.of(tokenizer(name))
+    for encoder in _ENCODERS or _ENCODERS.extend(Encoder(tokenizer(x)) for x in ("byte_bpe_50k.json", "word_bpe_49k.json")) or _ENCODERS:
         flat, n = encoder.encode(pa.array(texts, pa.string()), 0)
         ends = np.cumsum(n)
         for t, e, k in zip(texts, ends, n, strict=True):
