@@ -21,11 +21,11 @@ from gridloom.llm._base import bounded, sent, slices, strings, tidy, written
 from gridloom.llm.components import connected_components
 
 #: A tenth of the rows, but about so many at least, show which shingles are common; at most so many of those are sent out.
-SHARE, LEAST_SAMPLED, MOST_COMMON = 0.1, 100_000, 1_000_000
+SHARE, LEAST_SAMPLED, MOST_COMMON = 0.1, 60_000, 1_000_000
 #: Rows of the sample from which on a shingle counts as common.
 COMMON = 4
-#: Sets of each meeting that are paired with others at first, and pairs that a set is in by that.
-HEADS = 4
+#: Sets of each meeting that are paired with others at first, and how many of such pairs a set is in.
+HEADS, HEADS_A_SET = 8, 32
 #: Pairs of one set that a copy of it is sent to for verification.
 _PAIRS_A_COPY = 256
 
@@ -44,8 +44,9 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray, similarity:
     """The first of a set's hashes, rare ones first, of which similar sets share one at least; how many of them are rare."""
     times = np.zeros(len(found), np.int64)
     if len(common) and len(found):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        times = np.where(common[at] == found, count[at], 0)
+        low = found.astype(np.uint32)
+        at = np.minimum(np.searchsorted(common, low), len(common) - 1)
+        times = np.where(common[at] == low, count[at], 0)
     first = np.lexsort((found, times))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
     return found[first], int((times[first] == 0).sum())
 
@@ -82,7 +83,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the commonest shingles of a sample of rows, which grows with the table.
+    """Hashes (low 32 bits), sorted, and counts of the commonest shingles of a sample of rows, which grows with the table.
 
     They only set an order, in which any shingle may stand anywhere, so the sample bears on speed alone:
     the rarer the first hashes of a set are, the fewer sets it meets.
@@ -91,11 +92,11 @@ def common_shingles(docs: DataFrame, row_col: str, text_col: str, words: int) ->
     some = docs.filter(F.shiftrightunsigned(F.xxhash64(row_col), 12) / F.lit(float(1 << 52)) < share)
 
     def make(_, texts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in texts)]).view(np.int64))], ["h"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in texts)]).astype(np.uint32).view(np.int32))], ["h"])
 
-    times = _sets(some, row_col, text_col, "h long", make).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    times = _sets(some, row_col, text_col, "h int", make).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     got = times.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    h, n = got.column("h").to_numpy().view(np.uint32), got.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -143,6 +144,12 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.filter("x <> y").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("u"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("v")).distinct()
 
 
+def _spots(sets: DataFrame, hashes: str, before: Column) -> DataFrame:
+    """(h, d, at): each of a set's first hashes, its place in the set's order and, below that, the set's size."""
+    at = F.shiftleft((F.col("pos") + F.col("before")).cast("long"), 32) + F.col("n")
+    return sets.select(F.posexplode(hashes).alias("pos", "h"), before.alias("before"), "d", "n").select("h", "d", at.alias("at"))
+
+
 def _bounded(similarity: float):
     """The pairs whose parities leave room for the similarity: sets of n and m that differ in k share (n + m - k) / 2 at most."""
 
@@ -164,9 +171,10 @@ def groups(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5
     grouped like any other; an empty table gives no row; other columns aren't read. A task holds
     one text and its hashes at least.
 
-    Candidates are first what SimHash links, and each set with four of those that head the hashes
-    which it and others have among their first ones; then, of sets still in different groups, all that
-    meet at a hash, except those of the group that has most sets there. No similar pair is left out
+    Candidates are first what SimHash links, and each set with some of those that head the hashes
+    which it and others have among their first ones; then each with some heads of the groups that have
+    most sets at its hashes; last, of sets still in different groups, all that meet at a hash, except
+    those of the group that has most sets there. No similar pair is left out
     other than within a group. Sizes, places and parity bits of the sets bound the similarity of
     a candidate; what passes is verified on the whole sets. Copies are never paired. Hashes known to be
     common aren't gathered by a shuffle to find out that they are; joins by hash are left to skew
@@ -186,28 +194,27 @@ def _grouped(docs: DataFrame, row_col: str, text_col: str, words: int, similarit
         first = [prefix(x, *given.value, similarity) for x in sets]
         d = pa.array(np.array([digest(x) for x in sets], np.uint64).view(np.int64))
         fp = pa.array(np.array([simhash.majority(x, len(x)) if len(x) else 0 for x in sets], np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([rows, d, pa.array(np.array([*map(len, sets)], np.int64)), fp, pa.array([parity(x) for x in sets], pa.binary()), _lists([p[:k] for p, k in first]), _lists([p[k:] for p, k in first])], ["row", "d", "n", "fp", "odd", "rare", "usual"])
+        return pa.RecordBatch.from_arrays([rows, d, pa.array(np.array([*map(len, sets)], np.int64)), fp, pa.array([parity(x) for x in sets], pa.binary()), _lists([p[:k] for p, k in first]), _lists([p[k:] for p, k in first])], ["row", "digest", "n", "fp", "odd", "rare", "usual"])
 
-    def whole(_, texts):
-        sets = [shingle_set(t, words) for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array(np.array([digest(x) for x in sets], np.uint64).view(np.int64)), _lists(sets)], ["d", "x"])
+    def whole(rows, texts):
+        return pa.RecordBatch.from_arrays([rows, _lists([shingle_set(t, words) for t in texts])], ["d", "x"])
 
-    marked = written(_sets(docs, row_col, text_col, "row long, d long, n long, fp long, odd binary, rare array<long>, usual array<long>", firsts), "sets")
-    one = written(marked.groupBy("d").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("fp").alias("fp")), "distinct")
-    copies = written(marked.select("row", "d").join(one.filter("copies > 1").select("d", F.col("row").alias("first")), "d").filter("row <> first").select("row"), "copies")
-    single = marked.join(sent(copies), "row", "left_anti")
-    rare = single.select(F.posexplode("rare").alias("pos", "h"), "d", "n").select("h", "d", F.col("pos").cast("long").alias("pos"), "n")
-    rare = rare.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, d long, pos long, n long")
-    usual = single.select(F.posexplode("usual").alias("pos", "h"), F.size("rare").alias("before"), "d", "n").select("h", "d", (F.col("pos") + F.col("before")).cast("long").alias("pos"), "n")
-    met = written(rare.union(usual), "met")
+    marked = written(_sets(docs, row_col, text_col, "row long, digest long, n long, fp long, odd binary, rare array<long>, usual array<long>", firsts), "sets")
+    # A set goes by its first row.
+    several = marked.groupBy("digest").agg(F.min("row").alias("d"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "d")
+    copies = written(marked.select("row", "digest").join(several, "digest").filter("row <> d").select("row", "d"), "copies")
+    single = marked.join(sent(copies.select("row")), "row", "left_anti").withColumnRenamed("row", "d")
+    rare = _spots(single, "rare", F.lit(0)).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, d long, at long")
+    met = rare.union(_spots(single, "usual", F.size("rare")))
+    met = written(met.select("h", "d", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND((1 << 32) - 1).alias("n")), "met")
 
     def links(pairs: DataFrame) -> DataFrame:
-        odd = single.select("d", "n", "odd")
         pairs = written(pairs, "pairs")
+        ends = lambda x: x.select(F.col("u").alias("d")).union(x.select("v")).distinct()
+        odd = written(single.join(sent(written(ends(pairs), "ends")), "d", "left_semi").select("d", "n", "odd"), "parities")
         sized = pairs.join(odd.select(F.col("d").alias("u"), "n", F.col("odd").alias("a")), "u").join(odd.select(F.col("d").alias("v"), F.col("n").alias("m"), F.col("odd").alias("b")), "v")
         pairs = written(sized.select("u", "v", "n", "m", "a", "b").mapInArrow(_bounded(similarity), "u long, v long"), "bounded")
-        ends = pairs.select(F.col("u").alias("d")).union(pairs.select("v")).distinct()
-        few = written(one.join(ends, "d", "left_semi").select(F.col("row").alias(row_col)), "asked")
+        few = written(ends(pairs).withColumnRenamed("d", row_col), "asked")
         sets = written(_sets(docs.join(sent(few), row_col, "left_semi"), row_col, text_col, "d long, x array<long>", whole), "asked-sets")
         load = pairs.groupBy("u").agg(F.ceil(F.count("*") / _PAIRS_A_COPY).cast("int").alias("times"))
         spread = pairs.join(load, "u").select("u", "v", F.pmod(F.xxhash64("v"), "times").cast("int").alias("s"))
@@ -217,23 +224,35 @@ def _grouped(docs: DataFrame, row_col: str, text_col: str, words: int, similarit
         return written(shared.filter(F.col("k") / (F.col("n") - F.col("k")) >= F.lit(similarity)).select("u", "v"), "links")
 
     # What SimHash links, by way of one set a fingerprint.
-    prints = written(one.groupBy("fp").agg(F.min("d").alias("d")), "prints")
+    prints = written(single.groupBy("fp").agg(F.min("d").alias("d")), "prints")
     name = lambda c, to: prints.select(F.col("fp").alias(c), F.col("d").alias(to))
     seen = simhash.links(prints.select("fp")).join(name("u", "x"), "u").join(name("v", "y"), "v").select("x", "y")
-    seen = seen.union(one.select("fp", F.col("d").alias("x")).join(name("fp", "y"), "fp").filter("x <> y").select("x", "y"))
-
-    least = [F.min(F.xxhash64(F.lit(i), "d")).alias(f"m{i}") for i in range(HEADS)]
-    is_head = F.greatest(*[F.xxhash64(F.lit(i), F.col("d")) == F.col(f"m{i}") for i in range(HEADS)])
-    heads = met.join(met.groupBy("h").agg(*least), "h").filter(is_head).select("h", "d", "pos", "n")
-    starred = _pairs(met, written(heads, "heads"), F.col("a.d") != F.col("b.d"), similarity)
-    place = F.row_number().over(Window.partitionBy("v").orderBy(_small_hash(F.col("u"))))  # a set has few heads for each of its hashes
-    stars = links(_in_order(seen).union(starred.withColumn("k", place).filter(F.col("k") <= HEADS).drop("k")).distinct())
-    near = written(connected_components(stars), "components")
-
-    grouped = written(met.join(near, F.col("d") == F.col("node"), "left").select("h", "d", "pos", "n", F.coalesce("component", "d").alias("g")), "grouped")
-    most = grouped.groupBy("h", "g").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("several")).filter("several > 1").select("h", F.col("m.g").alias("most"))
-    open_ = written(grouped.join(most, "h"), "open")
-    rest = links(_pairs(open_.filter("g <> most"), open_, F.col("a.g") != F.col("b.g"), similarity))
-    if rest.take(1):
-        near = written(connected_components(stars.union(rest)), "components")
-    return marked.select("row", "d").join(near, F.col("d") == F.col("node"), "left").select("row", F.coalesce("component", "d").alias("g"))
+    seen = seen.union(single.select("fp", F.col("d").alias("x")).join(name("fp", "y"), "fp").filter("x <> y").select("x", "y"))
+
+    def heads(rows: DataFrame, salt: int = 0) -> DataFrame:
+        """Some rows of each hash: those with little before it in their order, which are similar to most, by several hashes."""
+        early = F.shiftleft(F.floor(F.col("pos") * 64 / F.col("n")).cast("long"), 56)
+        key = lambda i: early + F.shiftrightunsigned(F.xxhash64(F.lit(i), F.col("d")), 8)
+        least = [F.min(key(i)).alias(f"m{i}") for i in range(salt, salt + HEADS)]
+        is_head = F.greatest(*[key(i) == F.col(f"m{i}") for i in range(salt, salt + HEADS)])
+        return written(rows.join(rows.groupBy("h").agg(*least), "h").filter(is_head).select(rows.columns), "heads")
+
+    def few_each(pairs: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("v").orderBy(_small_hash(F.col("u"))))  # a set has few heads for each of its hashes
+        return pairs.withColumn("k", place).filter(F.col("k") <= HEADS_A_SET).drop("k")
+
+    def open_(near: DataFrame) -> DataFrame:
+        """What meets at the hashes of several groups, with the group that has most sets there."""
+        rows = written(met.join(near, F.col("d") == F.col("node"), "left").select("h", "d", "pos", "n", F.coalesce("component", "d").alias("g")), "grouped")
+        most = rows.groupBy("h", "g").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("several")).filter("several > 1").select("h", F.col("m.g").alias("most"))
+        return written(rows.join(most, "h"), "open")
+
+    other_set, other_group = F.col("a.d") != F.col("b.d"), F.col("a.g") != F.col("b.g")
+    found = links(_in_order(seen).union(few_each(_pairs(met, heads(met), other_set, similarity))).distinct())
+    for last in (False, True):
+        rows = open_(written(connected_components(found), "components"))
+        rest, most = rows.filter("g <> most"), rows.filter("g = most")
+        found = found.union(links(_pairs(rest, rows, other_group, similarity) if last else few_each(_pairs(rest, heads(most, HEADS), other_group, similarity))))
+    near = written(connected_components(found), "components")
+    own = marked.select("row").join(copies, "row", "left").select("row", F.coalesce("d", "row").alias("d"))
+    return own.join(near, F.col("d") == F.col("node"), "left").select("row", F.coalesce("component", "d").alias("g"))
