@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import rows as R
+from gridloom.operators.arrays import Box, as_fold
 from gridloom.operators.grid import Split, grid_axes, split, splits
 from gridloom.operators.reducers import Aggregate, Collect, Concat, Fold, MergeMaps, Reducer
 from gridloom.plans.storage import checkpointed
@@ -36,7 +38,8 @@ def aggregate(df: DataFrame, value: Column, op: Aggregate, init: Any = None, nam
 
 
 def map_reduce(df: DataFrame, value: Column, op: Reducer, order_by: Sequence[str | Column] = (), init: Any = None, name: str = "value", key: Column | None = None) -> DataFrame:
-    """Apply an expression to each row and reduce.
+    """Apply an expression to each row and reduce. A Python function of a row is given as an Arrow function of columns
+    (``F.arrow_udf``), which gets batches; plain expressions stay in the JVM.
 
     Aggregates need no order; texts, lists and maps are collected with their order key, so partial results may come in any
     order; a Fold runs Python over the sorted rows. An empty input without ``init`` raises.
@@ -136,19 +139,21 @@ def section_table(spark: SparkSession, axes: Sequence, np: int, **answers: Calla
     return spark.createDataFrame([{"rank": s.rank, **{n: f(s) for n, f in answers.items()}} for s in splits(axes, np)])
 
 
+def _bounded_ranks(axes: Sequence, np: int) -> tuple[tuple, int]:
+    made = grid_axes(axes)
+    n = math.prod(a.length for a in made)
+    if np < 1 or n < 1:
+        raise ValueError("a map over sections needs at least one rank and one point")
+    return made, min(np, n)
+
+
 def map_sections(spark: SparkSession, axes: Sequence, np: int, f: Callable[[Split], Any]) -> DataFrame:
     """(rank, part): ``f`` called once for each rank that owns points, with the whole section; values are pickled.
 
     At most one rank a point is used. Each rank is a partition. A task may be tried again, so ``f``
     must not have effects that may not happen twice; any error fails the whole call.
     """
-    made = grid_axes(axes)
-    n = 1
-    for a in made:
-        n *= a.length
-    if np < 1 or n < 1:
-        raise ValueError("map_sections needs at least one rank and one point")
-    np = min(np, n)
+    made, np = _bounded_ranks(axes, np)
 
     def run(batches):
         for batch in batches:
@@ -159,21 +164,47 @@ def map_sections(spark: SparkSession, axes: Sequence, np: int, f: Callable[[Spli
     return spark.range(0, np, 1, np).mapInArrow(run, "rank long, part binary")
 
 
-def map_reduce_sections(spark: SparkSession, axes: Sequence, np: int, f: Callable[[Split], Any], op: Fold, init: Any = None) -> Any:
-    """Reduce what ``f`` gives for each section, in rank order, with ``init`` before the first rank."""
-    parts = checkpointed(map_sections(spark, axes, np, f))
-    left = parts.count()
-    run = _fold_rows(op)
+#: Bytes of partial results that one task of a merge round holds, about.
+MERGE_BYTES = 256 << 20
+
+
+def map_reduce_sections(spark: SparkSession, axes: Sequence, np: int, f: Callable[[Split], Any], op: Reducer, init: Any = None) -> Any:
+    """Reduce what ``f`` gives for each section, in rank order, with ``init`` before the first rank.
+
+    ``op`` may be any reducer: numbers and numpy arrays of any dimension are reduced by aggregates and
+    :class:`Elementwise` (arrays of different shape raise), arrays with bounds (:class:`gridloom.operators.arrays.Box`)
+    by :class:`Stack`, which gives the array of the whole box with 0 in gaps. A task folds the
+    sections of its ranks one after another, so one partial result a task is moved; a merge takes
+    as many of them as fit ``MERGE_BYTES``, at least 2 and at most ``FAN_IN``. Only the result comes to the driver.
+    """
+    do = as_fold(op)
+    made, ranks = _bounded_ranks(axes, np)
+    tasks = min(ranks, max(1, spark.sparkContext.defaultParallelism))
+
+    def local(batches):
+        first, now = None, None
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                value = f(split(made, ranks, k + 1))
+                first, now = (k + 1, value) if first is None else (first, do(now, value))
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"rank": pa.array([first], pa.int64()), "part": pa.array([pickle.dumps(now, 5)], pa.binary())})
+
+    parts = checkpointed(spark.range(0, ranks, 1, tasks).mapInArrow(local, "rank long, part binary"))
+    left, size = parts.agg(F.count("*"), F.max(F.octet_length("part"))).first()
+    fan = max(2, min(FAN_IN, MERGE_BYTES // max(1, size)))
+    run = _fold_rows(do)
     while left > 1:
         def merge(table):
-            batch = table.sort_by("rank").select(["rank", "part"]).combine_chunks().to_batches()
+            batch = table.sort_by("rank").select(["rank", "part"]).to_batches(1)
             return pa.Table.from_batches(list(run(iter(batch)))).rename_columns(["rank", "part"])
 
         order = R.number_rows(parts, ["rank"], "n").df
-        parts = checkpointed(order.groupBy(F.floor((F.col("n") - 1) / FAN_IN).alias("g")).applyInArrow(lambda t: merge(t.select(["rank", "part"])), "rank long, part binary"))
-        left = -(-left // FAN_IN)
+        parts = checkpointed(order.groupBy(F.floor((F.col("n") - 1) / fan).alias("g")).applyInArrow(lambda t: merge(t.select(["rank", "part"])), "rank long, part binary"))
+        left = -(-left // fan)
     value = pickle.loads(bytes(parts.first().part))
-    return value if init is None else op(init, value)
+    value = value if init is None else do(init, value)
+    return value.filled() if isinstance(value, Box) else value
 
 
 def map_batch_sections(spark: SparkSession, axes: Sequence, np: int, f: Callable[[Split], Any]) -> list[Any]:

@@ -87,15 +87,24 @@ class Elementwise(Reducer):
     commutative: bool = True
 
     def reduce(self, df: DataFrame, array: str | Column, position: str = "pos", value: str = "v") -> DataFrame:
-        """(pos, v): arrays are spread into rows and aggregated by position, with partial sums in each task."""
-        a = F.col(array) if isinstance(array, str) else array
-        rows = df.select(F.posexplode(a).alias(position, value)).withColumn(position, F.col(position).cast("long"))
-        return rows.groupBy(position).agg(self.op.column(F.col(value)).alias(value))
+        """(pos, v): arrays are spread into rows and aggregated by position, with partial sums in each task.
+
+        Arrays of different length, without elements or with null ones raise when the result is read.
+        """
+        v = F.col("__v")
+        return self._spread(df, array, position).groupBy(position).agg(_checked(self.op.column(v)).alias(value))
 
     def reduce_many(self, df: DataFrame, array: str | Column, ops: dict[str, Aggregate], position: str = "pos") -> DataFrame:
+        """(pos, a column an operator), in one pass; see :meth:`reduce`."""
+        v = F.col("__v").cast("double")
+        return self._spread(df, array, position).groupBy(position).agg(*[_checked(op.column(v)).alias(n) for n, op in ops.items()])
+
+    @staticmethod
+    def _spread(df: DataFrame, array: str | Column, position: str) -> DataFrame:
         a = F.col(array) if isinstance(array, str) else array
-        rows = df.select(F.posexplode(a).alias(position, "v")).withColumn(position, F.col(position).cast("long"))
-        return rows.groupBy(position).agg(*[op.column(F.col("v").cast("double")).alias(n) for n, op in ops.items()])
+        whole = F.when(F.size(a) > 0, a).otherwise(F.raise_error(F.lit("an array without elements")))
+        rows = df.select(whole.alias("__a")).select(F.size("__a").alias("__n"), F.posexplode("__a").alias(position, "__v"))
+        return rows.withColumn(position, F.col(position).cast("long"))
 
     @staticmethod
     def check(df: DataFrame, array: str) -> None:
@@ -106,6 +115,12 @@ class Elementwise(Reducer):
             raise DimensionMismatch("arrays differ in length or hold nulls")
 
 
+def _checked(found: Column) -> Column:
+    """The aggregate of a position, if all arrays are equally long and hold a value there."""
+    fits = (F.min("__n") == F.max("__n")) & (F.count("__v") == F.count("__n"))
+    return F.when(fits, found).otherwise(F.raise_error(F.lit("arrays differ in length or hold nulls")))
+
+
 def zip_arrays(op: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
     """Elementwise combination of two array columns; an array of length 1 is stretched to the other's.
 
