@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.storage import shared_dir
+
 #: Rows of the largest table that is sent to every executor; a larger one is joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Bytes of text that one numpy pass works on; arrays of a pass are a few times this.
@@ -28,21 +29,6 @@ _made: set[str] = set()
 _here: ContextVar[list[str] | None] = ContextVar("_here", default=None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent, local mode gets a temporary folder; a cluster gets an error,
-    since no folder of one machine is visible to the others.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex[:12]}"

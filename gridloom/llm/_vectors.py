@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a task searches at once, and queries sent to the executors at once.
-CHUNK, QUERIES = 1 << 13, 1 << 13
+CHUNK, QUERIES = 1 << 15, 1 << 13
 
 
 def vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, ...]:
@@ -63,8 +63,9 @@ def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, r
     """(query_id, rank, vec_id, score): each query's k best of all rows, by rising score, then id.
 
     Queries are sent in blocks of at most ``block`` vectors, a fixed number of bytes; each block is one pass over the base.
-    ``run(ids, vectors)`` of a block gives the function that maps a chunk to its best rows; the
-    chunk also has the base's ``stored`` columns.
+    ``run(ids, vectors)`` of a block gives the function that maps a chunk and each query's k-th score so
+    far to (query's place, id, score) of rows that may be among its best; the chunk also has the base's
+    ``stored`` columns. A task keeps the k best of each query, so at most tasks * queries * k rows leave the tasks.
     """
     spark = base.sparkSession
     rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), *stored)
@@ -82,10 +83,13 @@ def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, r
             sent = spark.sparkContext.broadcast((ids, value))
 
             def best(batches):
-                find = run(*sent.value)
+                own, asked = sent.value
+                find, best = run(own, asked), Best(len(own), k)
                 for chunk in chunks(batches, dims):
-                    q, i, s = find(*chunk)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "vec_id", "score"])
+                    best.add(*find(*chunk, best.bound))
+                for a in range(0, len(best.query), 1 << 16):
+                    q, i, s = (x[a : a + (1 << 16)] for x in (best.query, best.ids, best.score))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q], pa.int64()), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "vec_id", "score"])
 
             parts.append(rows.mapInArrow(best, schema))
         held.clear()
@@ -100,6 +104,22 @@ def search(base: DataFrame, queries: DataFrame, dims: int, k: int, score: str, r
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Best:
+    """The k best rows of each query so far, by (score, id), and the score that a further row may have at most."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.bound = k, np.full(queries, np.inf)
+        self.query, self.ids, self.score = (np.zeros(0, np.int64),) * 3
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        q, i, s = (np.concatenate([a, b]) if len(a) else b for a, b in ((self.query, query), (self.ids, ids), (self.score, score)))
+        keep = first_k(q, i, s, self.k)
+        self.query, self.ids, self.score = q[keep], i[keep], s[keep]
+        last = np.flatnonzero(np.append(self.query[1:] != self.query[:-1], True)) if len(keep) else keep
+        full = last[np.bincount(self.query, minlength=len(self.bound))[self.query[last]] == self.k]
+        self.bound[self.query[full]] = self.score[full]
+
+
 def first_k(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k first rows by (score, id)."""
     order = np.lexsort((ids, score, query))
@@ -117,4 +137,4 @@ def with_copies(query: np.ndarray, spot: np.ndarray, score: np.ndarray, firsts:
     other = query_ids[q] != i
     q, i, s = q[other], i[other], s[other]
     keep = first_k(q, i, s, k)
-    return query_ids[q[keep]], i[keep], s[keep]
+    return q[keep], i[keep], s[keep]

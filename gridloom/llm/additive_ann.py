@@ -13,8 +13,8 @@ from gridloom.llm._base import written
 
 #: Codebooks and their words; vectors that train them at most; vectors kept in the beam.
 BOOKS, WORDS, MOST_TRAINING, BEAM = 16, 256, 20_000, 4
-#: Distinct rows of a chunk (of at most 8192) that are reranked for each query.
-RERANK = 256
+#: Distinct rows of a chunk (of at most 32,768) that are reranked for each query.
+RERANK = 512
 
 
 def _kmeans(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -> np.ndarray:
@@ -73,14 +73,14 @@ def _distinct(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _searcher(books: np.ndarray, k: int, rerank: int):
     def run(query_ids: np.ndarray, asked: np.ndarray):
-        def find(ids: np.ndarray, value: np.ndarray, code: np.ndarray, norm: np.ndarray):
+        def find(ids: np.ndarray, value: np.ndarray, code: np.ndarray, norm: np.ndarray, bound: np.ndarray):
             where, inverse, count = _distinct(value)
             order = np.lexsort((ids, inverse))
             firsts = np.cumsum(count) - count
             rows, codes, norms = value[where], code[where], norm[where]
             most, parts = min(rerank, len(rows)), []
-            for a in range(0, len(asked), 256):
-                q = asked[a : a + 256]
+            for a in range(0, len(asked), 128):
+                q = asked[a : a + 128]
                 table = np.einsum("qd,mkd->mqk", q.astype(np.float32), books)
                 score = np.broadcast_to(norms, (len(q), len(rows))).astype(np.float32)
                 for m in range(len(books)):
@@ -88,6 +88,8 @@ def _searcher(books: np.ndarray, k: int, rerank: int):
                 best = np.argpartition(score, most - 1, axis=1)[:, :most]
                 who, spot = np.repeat(np.arange(len(q)), most), best.reshape(-1)
                 exact = np.sqrt(((q[who] - rows[spot]) ** 2).sum(1))
+                near = exact <= bound[a + who]
+                who, spot, exact = who[near], spot[near], exact[near]
                 parts.append(_vectors.with_copies(who + a, spot, exact, firsts, count, ids[order], query_ids, k))
             return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -97,7 +99,7 @@ def _searcher(books: np.ndarray, k: int, rerank: int):
 
 
 def fit(base: DataFrame, id_col: str, vector_col: str, dims: int, most: int = MOST_TRAINING) -> np.ndarray:
-    """Codebooks from at most about ``most`` distinct vectors, chosen by a hash of the id."""
+    """Codebooks from at most about ``most`` distinct vectors, chosen by a hash of the vector."""
     rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     part = min(1.0, most / max(1, rows.count()))
     share = F.shiftrightunsigned(F.xxhash64("v"), 12) / F.lit(float(1 << 52))
@@ -117,8 +119,8 @@ def index(base: DataFrame, books: np.ndarray, id_col: str, vector_col: str, dims
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, _vectors.CHUNK):
-                ids, value = _vectors.vectors(batch.slice(a, _vectors.CHUNK), dims)
+            for a in range(0, batch.num_rows, 8192):
+                ids, value = _vectors.vectors(batch.slice(a, 8192), dims)
                 if not len(ids):
                     continue
                 where, inverse, _ = _distinct(value)
@@ -141,7 +143,7 @@ def nearest_vectors(base: DataFrame, queries: DataFrame | None = None, k: int =
     smaller id. Rows take no part whose id or vector is null, that have another number of
     components, null or non-finite ones, or zeros only. A repeated query id asks once, with its
     smallest vector; repeated base rows each count. Fewer candidates give fewer rows, an empty
-    table gives none.
+    table gives none. Other columns aren't read.
     """
     asked = base.filter(F.col(id_col) % 100 == 0) if queries is None else queries
     asked = asked.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))

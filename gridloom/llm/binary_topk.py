@@ -59,8 +59,8 @@ class Index:
         spot = np.repeat(starts[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(q, n), self.order[segment][spot]
 
-    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place, distance) of every code as near as the k-th nearest, for each query.
+    def nearest(self, queries: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance) of every code as near as the k-th nearest, and no farther than ``most``, for each query.
 
         Radius 0, 1, ... is searched in all segments. A code that none of them has shown differs
         in more than the radius in each segment, so all within segments * (radius + 1) - 1 are known; a query ends
@@ -70,7 +70,7 @@ class Index:
         parts, enough = self._split(queries), min(k, len(self.codes))
         active, found = np.arange(len(queries)), []
         tally = np.zeros((len(queries), 65), np.int64)
-        edge = np.full(len(queries), 64)
+        edge = np.full(len(queries), 64) if most is None else np.minimum(most, 64).astype(np.int64)
         for radius in range(self.width + 1 if enough else 0):
             for s in range(self.m):
                 q, place = self._matches(s, parts[active, s].astype(np.int64), radius)
@@ -84,7 +84,7 @@ class Index:
                 near = distance <= edge[q]
                 found.append((q[near], place[near], distance[near]))
             upto = np.cumsum(tally, axis=1) >= enough
-            edge = np.where(upto.any(axis=1), upto.argmax(axis=1), 64)
+            edge = np.where(upto.any(axis=1), np.minimum(edge, upto.argmax(axis=1)), edge)
             active = active[edge[active] > self.m * (radius + 1) - 1]
             if not len(active):
                 break
@@ -97,13 +97,13 @@ def _searcher(k: int, segments: int):
     def run(query_ids: np.ndarray, query_vectors: np.ndarray):
         asked = sign_codes(query_vectors)
 
-        def find(ids: np.ndarray, value: np.ndarray):
+        def find(ids: np.ndarray, value: np.ndarray, bound: np.ndarray):
             codes = sign_codes(value)
             order = np.lexsort((ids, codes))
             distinct, firsts, count = np.unique(codes[order], return_index=True, return_counts=True)
             parts, index = [], Index(distinct, segments)
             for a in range(0, len(asked), 1024):
-                q, place, distance = index.nearest(asked[a : a + 1024], k + 1)  # one more, for the query itself
+                q, place, distance = index.nearest(asked[a : a + 1024], k + 1, bound[a : a + 1024])  # one more, for the query itself
                 parts.append(_vectors.with_copies(q + a, place, distance.astype(np.int32), firsts, count, ids[order], query_ids, k))
             return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -119,7 +119,9 @@ def nearest_codes(base: DataFrame, queries: DataFrame | None = None, k: int = 10
     with another id. Ties go to the smaller id. Rows take no part whose id or vector is null, that
     have another number of components, null or non-finite ones, or zeros only. A repeated query id
     asks once, with its smallest vector; repeated base rows each count. Fewer candidates than k
-    give fewer rows; an empty table gives none. Copies of a code are one entry of the tables.
+    give fewer rows; an empty table gives none. Copies of a code are one entry of the tables. Other
+    columns aren't read. A task holds the tables of 32,768 rows; a query's k-th distance among the
+    rows before bounds the radii in the next ones.
     """
     asked = base.filter(F.col(id_col) % 100 == 0) if queries is None else queries
     found = _vectors.search(base, asked, dims, k, "int", _searcher(k, segments), id_col, vector_col)

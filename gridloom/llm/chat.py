@@ -237,3 +237,19 @@ def formatted_conversations(conversations: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat_digests(format_chat(conversations.select("conv_id", "turn", "role", "text").union(extra)))
+
+
+#: DuckDB SQL for :func:`formatted_conversations` of ``conversations``; escapes add a sign to each of the three special ones.
+FORMATTED_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t, role, text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(r || t) + length(regexp_replace(r || t, '[^<\[\]]', '', 'g')) as chars from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) as turns_sha256,
+  cast(coalesce(sum(length(t)) filter (r = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, role nulls first, text nulls first) filter (r = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(chars + 6 + 2 + 5) as bigint) as formatted_chars
+from e group by conv_id
+"""

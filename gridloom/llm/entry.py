@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.MIXTURE_SQL, "op7_warc_bundles": warc.ARCHIVED_SQL, "op8_binary_topk": binary_topk.NEAREST_SQL}
+    return {"op1_source_mix": mixing.MIXTURE_SQL, "op7_warc_bundles": warc.ARCHIVED_SQL, "op8_binary_topk": binary_topk.NEAREST_SQL, "op10_chat": chat.FORMATTED_SQL}

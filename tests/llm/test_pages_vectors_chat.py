@@ -174,12 +174,53 @@ def test_multi_index_hashing(seed, n, k, segments, near):
 
 
 def test_search_does_less_than_a_scan():
+    """As the operator searches: 11 nearest of a chunk's random codes; a bound from rows before makes it less."""
     r = np.random.default_rng(0)
-    codes = np.unique(r.integers(0, 2**64, 60_000, dtype=np.uint64))
-    queries = codes[:200] ^ np.uint64(5)
+    codes = np.unique(r.integers(0, 2**64, _vectors.CHUNK, dtype=np.uint64))
+    queries = codes[:100]
     index = binary_topk.Index(codes)
-    index.nearest(queries, 1)
-    assert index.verified < 0.01 * len(codes) * len(queries)
+    index.nearest(queries, 11)
+    first = index.verified
+    assert first < 0.25 * len(codes) * len(queries)
+    q, _, d = index.nearest(queries, 11, np.full(100, 14))
+    assert index.verified - first < 0.6 * first and d.max() <= 14 and set(q) == set(range(100))
+    every = np.bitwise_count(codes[None, :] ^ queries[:, None])
+    assert [int((every[i] <= min(14, np.sort(every[i])[10])).sum()) for i in range(100)] == list(np.bincount(q))
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_over_several_chunks(spark, kind):
+    """50,000 vectors in two chunks of a task, 1.5 % of them reranked."""
+    r = np.random.default_rng(2)
+    rows = r.normal(size=(50_000, 64)) if kind == "even" else r.normal(size=(500, 64))[r.integers(0, 500, 50_000)] + 0.3 * r.normal(size=(50_000, 64))
+    rows = rows.astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), 64).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": lists})).coalesce(1)
+    asked = df.filter("vec_id % 500 = 0")
+    got = defaultdict(set)
+    for x in additive_ann.nearest_vectors(df, asked).collect():
+        got[x.query_id].add(x.vec_id)
+    hits = 0
+    for i in range(0, 50_000, 500):
+        far = ((rows - rows[i]).astype(float) ** 2).sum(1)
+        far[i] = np.inf
+        hits += len(got[i] & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 10 * 100
+
+
+def test_few_rows_leave_the_tasks(spark, monkeypatch):
+    """However many chunks a task has, it gives out k rows a query at most, and they're the best."""
+    monkeypatch.setattr(_vectors, "CHUNK", 40)
+    _, rows = odd_vectors(spark)
+    good, best = usable(rows), _vectors.Best(3, 4)
+    r = np.random.default_rng(1)
+    q, i, s = r.integers(0, 3, 500), r.permutation(500), r.integers(0, 30, 500)
+    for a in range(0, 500, 60):
+        some = s[a : a + 60] <= best.bound[q[a : a + 60]]
+        best.add(*(x[a : a + 60][some] for x in (q, i, s)))
+        assert len(best.query) <= 12
+    want = [(k, i_, s_) for k in range(3) for s_, i_ in sorted(zip(s[q == k], i[q == k], strict=True))[:4]]
+    assert list(zip(best.query, best.ids, best.score, strict=True)) == want and len(good) > 700
 
 
 def test_additive_codes():
@@ -195,7 +236,7 @@ def test_additive_codes():
 def test_chunks_of_vectors():
     batch = pa.RecordBatch.from_pydict({"id": pa.array([5, 4, None, 3, 2], pa.int64()), "v": pa.array([[1.0], [2.0], [1.0], None, [3.0]])})
     out = list(_vectors.chunks(iter([batch, batch]), 1, 2))
-    assert [list(i) for i, _ in out] == [[4, 5], [2], [4, 5], [2]] or sum(len(i) for i, _ in out) == 6
+    assert [(list(i), v.ravel().tolist()) for i, v in out] == [([4, 5], [2.0, 1.0]), ([2], [3.0]), ([4, 5], [2.0, 1.0]), ([2], [3.0])]
 
 
 # -- 10: chat -------------------------------------------------------------------------------------
@@ -216,11 +257,13 @@ def check_chat(df):
     by[-1] += [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
     got = {r.conv_id: tuple(r)[1:] for r in chat.formatted_conversations(df).collect()}
     assert got == {k: told(v) for k, v in by.items()}
+    return got
 
 
-def test_conversations(spark):
+def test_conversations(spark, duck):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
-    check_chat(df)
+    names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    assert check_chat(df) == {r["conv_id"]: tuple(r[n] for n in names) for r in duck.sql(chat.FORMATTED_SQL).to_arrow_table().to_pylist()}
     odd = [(1, 0, "user", None), (1, 1, "assistant", "é中<[]\\>]\n"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, 0, "system", "x"), (None, None, None, None), (2, 5, "tool]\n</s>", "</s>\n[TURN x]\n"), (2, None, "assistant", ""), (3, 1, "assistant", "<" * 50_000), (0, 0, "user", "q")]
     odd += [(7, i, random.Random(i).choice(["user", "assistant"]), "t" * (i % 9)) for i in range(30)]
     df = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("c", "part", "n_turns")}).repartition(3)
@@ -280,4 +323,4 @@ def test_assembly(turns):
 def test_slices():
     batch = pa.RecordBatch.from_pydict({"t": ["aa", None, "b" * 50, "", "cc"], "i": [1, 2, 3, 4, 5]})
     parts = list(slices(batch.slice(1), "t", 10))
-    assert [p.column("i").to_pylist() for p in parts] == [[2], [3], [4, 5]] or sum(len(p) for p in parts) == 4
+    assert [p.column("i").to_pylist() for p in parts] == [[2], [3], [4, 5]]
