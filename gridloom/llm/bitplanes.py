@@ -138,7 +138,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     k + 1; rows that share an id follow each other by a hash of the text, null ids come first, and
     a null text is empty (just the end id). Each attempt of a task writes its own file, and only
     the files of finished attempts are listed. An empty table gives no shard or an empty one.
-    Other columns aren't read, so their names don't matter.
+    Other columns aren't read, so their names don't matter. A task holds 4 MB of texts, or one text, and its ids; all
+    copies of one row are in one task, since the order puts them next to each other.
     """
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")

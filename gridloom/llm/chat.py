@@ -159,7 +159,7 @@ def format_chat(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     Turns are dealt out by ranges of conversation and turn, so a conversation with a large share of
     the rows is formatted by many tasks. It then comes as several rows, like any very long one: their
     texts follow each other by ``part``, ``opens`` marks the first, spans count within a row. Each
-    task sorts on disk where needed and holds a few MB of turns. The result is a written table; of
+    task sorts on disk where needed and holds a few MB of turns, or one turn. Other columns aren't read. The result is a written table; of
     it, the driver gets the first and last conversation of each partition.
     """
     rows = bounded(conversations).select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._base import written
+from gridloom.llm._base import tidy, written
 
 #: Bits of one level of the histograms, and levels in each of the two 60-bit keys.
 BITS, LEVELS = 10, 6
@@ -56,8 +56,15 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     for each further round of a source are nested. The threshold is found by histograms of words
     by source and hash bucket: the bucket in which the budget ends is the only one refined, by the
     next bits, until it holds one document. It's taken if that brings the sum nearer the budget.
-    Only rows with the same id and text are left for the bits of t.
+    Only rows with the same id and text are left for the bits of t. Below the first level only the
+    rows of open buckets are read, a thousandth or so, from a table of their own. There is one row a source in
+    these tables, and windows over them run in one task: sources are names of corpora, not hosts.
     """
+    with tidy(sizes.sparkSession) as keep:
+        return _refined(sizes, weights, share, repeats, keep)
+
+
+def _refined(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int, keep) -> DataFrame:
     at = targets(sizes, weights, share, repeats)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     at = at.withColumn("times", times.cast("int")).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
@@ -74,20 +81,24 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
             inside &= F.col("__mix_h") == F.col("h")
         digit = F.shiftrightunsigned(f"__mix_{key}", shift).bitwiseAND((1 << BITS) - 1)
         rows = sizes.join(open_.select("source", "h", "t"), same).filter(inside)
+        if level == 1:
+            sizes = written(rows.select(*sizes.columns), "mix-open")
+            rows = sizes.join(open_.select("source", "h", "t"), same).filter(inside)
         histogram = rows.groupBy("source", digit.alias("digit")).agg(F.sum("__mix_size").alias("mass"), F.count("*").alias("rows"))
         upto = F.sum("mass").over(Window.partitionBy("source").orderBy("digit"))
         marked = open_.drop("mass", "rows").join(histogram.withColumn("upto", upto).withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
         ends = marked.filter("upto >= rest and upto - mass < rest").withColumn("rest", F.col("rest") - (F.col("upto") - F.col("mass")))
         ends = ends.withColumn(key, F.col(key) * (1 << BITS) + F.col("digit")).withColumn("bits", F.lit((level + 1) * BITS)).select(*at.columns)
         at = written(at.filter("not (rest > 0 and rows > 1)").unionByName(ends), "mix-level")
-    return at.withColumn("upto", F.col("mass") <= 2 * F.col("rest"))
+    return keep(at).withColumn("upto", F.col("mass") <= 2 * F.col("rest"))
 
 
 def mix(docs: DataFrame, bounds: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", made: bool = False) -> DataFrame:
     """The documents with __mix_times, how often the mix takes each, and the bounds' columns as __mix_*.
 
     Null ids, texts and sources are values like others (a null text has no words and weighs
-    nothing); repeated rows are judged row by row; an empty table gives no row.
+    nothing); repeated rows are judged row by row; an empty table gives no row. Further columns are kept; names
+    that begin with ``__mix_`` or ``__b_`` are not allowed.
     """
     rows = docs if made else keyed(docs, id_col, text_col, source_col)
     by = bounds.select(*[F.col(c).alias(f"__b_{c}") for c in bounds.columns])
@@ -102,7 +113,11 @@ def mix(docs: DataFrame, bounds: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted). See :func:`mix`."""
+    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted).
+
+    Odd rows are treated as :func:`mix` says; other columns aren't read, so their names don't matter. Texts are counted in
+    the JVM, one row at a time.
+    """
     slim = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), "doc_id", "text", "source")
     sizes = written(slim.drop("text", "source"), "mix-sizes")
     rows = mix(sizes, thresholds(sizes, weights, share, repeats), made=True)
@@ -110,7 +125,11 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, all columns kept, each row as often as the mix takes it."""
+    """The documents, all columns kept whatever their names, each row as often as the mix takes it.
+
+    Null ids, texts and sources are values like others; rows without words go unless their source gives each row; repeated rows are judged one by one;
+    an empty table gives no row.
+    """
     slim = keyed(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x"), F.col(source_col).alias("s")), "i", "x", "s")
     bounds = thresholds(written(slim.drop("i", "x", "s"), "mix-sizes"), weights, share, repeats)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__i"), F.col(text_col).alias("__x"), F.col(source_col).alias("__s"))
@@ -118,7 +137,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return rows.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__mix_times")))).select("__row.*")
 
 
-#: DuckDB SQL for :func:`mixture` of ``documents`` with the default weights, share and repeats.
+#: DuckDB SQL for :func:`mixture` of ``documents`` with the default weights, share and repeats. It takes rows with the
+#: same source, id and text together, which the operator tells apart where a budget ends between them.
 MIXTURE_SQL = r"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,

@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
 
     Rows are dealt out by a hash of id and text, so each partition is a random part of the table;
     within it, documents in hash order form groups of about ``group_tokens`` ids, and each group
-    is packed on its own. A task holds one group. ``ids`` are little-endian unsigned 32-bit
+    is packed on its own. A task holds one group, or one text and its ids. All copies of one row are in one task. ``ids`` are little-endian unsigned 32-bit
     integers. A sequence shorter than ``capacity`` is padded to it by whoever lays it out, unless
     its length is a power of two; padding isn't in the rows. A null text is empty: its one piece is the end
     id. A null id stays null, repeated rows are packed once each, other columns aren't read. An

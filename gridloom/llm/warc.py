@@ -104,7 +104,8 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     responses and the others revisits; if all their ids are null, all are responses. A null html is an empty payload, a null url gives no target,
     repeated rows give a record each, and an empty table gives no record. Each attempt of a task
     writes a file of its own; the index lists those of finished attempts. Only digests that occur
-    more than once are joined to the pages, so payloads are shuffled only where that list is large.
+    more than once are joined to the pages, so payloads are shuffled only where that list is large; skew handling splits
+    a payload that many rows have. Other columns aren't read. A task holds a frame and one payload at least.
     """
     again = repeated_payloads(pages, id_col, html_col, least_bytes)
     html = F.coalesce(F.col(html_col), F.lit(""))
