@@ -16,7 +16,10 @@ from gridloom.llm.entry import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps; those it rejects go."""
+    """Documents that the importance resampling keeps; those it rejects go.
+
+    Null and empty texts weigh 0, copies stand or fall together: see :func:`gridloom.llm.resampling.resample`.
+    """
     return resampling.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Links are those of SimHash, verified, and those that it can't see: see :func:`gridloom.llm.similar.groups`.
     It is the row with the smallest doc_id, a null one last; of several, that with the smallest
-    hash of the text. Rows are told apart by a written key, so repeated and null ids are no matter.
+    hash of the text. Rows are told apart by a written key, so repeated and null ids are no matter. Null and blank
+    texts are copies of each other. Any other columns are kept, but ``__row``; an empty table gives no row.
     """
     tie = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.col("__row").alias("row"))
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
@@ -36,12 +40,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each row as often as its source's target asks for."""
+    """The documents of the mix, each row as often as its source's target asks for.
+
+    A null source is a source; rows are judged one by one: see :func:`gridloom.llm.mixing.mixed_documents`.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences: one row a piece, with the CRC of its ids."""
+    """The packed sequences: one row a piece, with the CRC of its ids.
+
+    A null text is its end id only; null ids stay; repeated rows are packed once each: see :func:`gridloom.llm.packing.pack`.
+    """
     return packing.packed_digests(docs, tokenizer("word_bpe_49k.json"))
 
 
