@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,22 +75,24 @@ class Encoder:
         texts = strings(texts)
         codes, distinct, firsts, odd = cut(texts)
         words = distinct.to_pylist()
-        slot = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
+        slot = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(slot < 0)
         flat, first, count = self.flat, self.first, self.count
         if len(fresh):
-            new = self.ids([words[i] for i in fresh])
+            unknown = [words[i] for i in fresh]
+            new = self.ids(unknown)
             lengths = np.fromiter(map(len, new), np.int64, len(new))
-            ids = np.fromiter((t for x in new for t in x), np.uint32, int(lengths.sum()))
+            ids = np.fromiter(chain.from_iterable(new), np.uint32, int(lengths.sum()))
+            del new
             n = len(self.slot)
             flat, first, count = (self._put(a, k, v) for a, k, v in ((flat, self.used, ids), (first, n, self.used + np.cumsum(lengths) - lengths), (count, n, lengths)))
             slot[fresh] = n + np.arange(len(fresh))
-            size = _EACH * len(fresh) + sum(len(words[i]) for i in fresh) + 4 * len(ids)
+            size = _EACH * len(fresh) + sum(map(len, unknown)) + 4 * len(ids)
             if self.bytes + size <= self.remembered:
                 self.bytes += size
                 self.flat, self.first, self.count = flat, first, count
                 self.used += len(ids)
-                self.slot.update(zip((words[i] for i in fresh), range(n, n + len(fresh)), strict=True))
+                self.slot.update(zip(unknown, range(n, n + len(fresh)), strict=True))
         each = count[slot][codes] if len(codes) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(each)])
         tokens = flat[np.arange(before[-1]) + np.repeat(first[slot][codes] - before[:-1], each)] if len(codes) else np.zeros(0, np.uint32)
