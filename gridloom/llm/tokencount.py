@@ -15,7 +15,7 @@ from gridloom.llm.textcut import cut
 #: Log probability that a byte outside the vocabulary costs beyond the rarest piece.
 UNKNOWN = 10.0
 #: Nodes of a task's trie, of about 200 bytes each, from which on it begins anew.
-MOST_NODES = 250_000
+MOST_NODES = 800_000
 
 
 def unigram_pieces(model_file: str) -> dict[str, float]:
@@ -53,10 +53,10 @@ class Trie:
         self.score, self.tokens = [0.0], [0]
 
     def count(self, words: list[str]) -> np.ndarray:
-        """Tokens of each word. The trie is kept for later words until it has too many nodes."""
+        """Tokens of each word, inserted in sorted order. The trie is kept for later words until it has too many nodes."""
         out = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            out[i] = self.tokens[self._insert(self.mark + word)]
+        for i in sorted(range(len(words)), key=words.__getitem__):
+            out[i] = self.tokens[self._insert(self.mark + words[i])]
             if len(self.score) > self.most:
                 self.clear()
         return out
@@ -72,25 +72,29 @@ class Trie:
             node = found
             path.append(node)
             before.append(scores[node])
-        for end in range(len(path), n + 1):
-            sign = text[end - 1]
-            size = len(sign.encode())
-            best, fewest = before[end - 1] + self.least * size, tokens[path[end - 1]] + size
-            at, start = self.backwards, end - 1
-            while start >= 0 and (at := at.get(text[start])) is not None:
-                if (p := at.get("")) is not None:
-                    s = before[start] + p
+        first, least, backwards = len(path), self.least, self.backwards
+        for last in range(first - 1, n):
+            sign = text[last]
+            size = 1 if sign < "\x80" else len(sign.encode())
+            best, fewest = before[last] + least * size, tokens[path[last]] + size
+            at, start = backwards.get(sign), last
+            while at is not None:
+                if "" in at:
+                    s = before[start] + at[""]
                     if s >= best:
                         t = tokens[path[start]] + 1
                         if s > best or t < fewest:
                             best, fewest = s, t
+                if not start:
+                    break
                 start -= 1
+                at = at.get(text[start])
             child[node << 21 | ord(sign)] = node = len(scores)
             scores.append(best)
             tokens.append(fewest)
             path.append(node)
             before.append(best)
-            self.made += 1
+        self.made += n + 1 - first
         return node
 
 
