@@ -9,6 +9,7 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,27 +183,30 @@ def map_reduce_sections(spark: SparkSession, axes: Sequence, np: int, f: Callabl
     tasks = min(ranks, max(1, spark.sparkContext.defaultParallelism))
 
     def local(batches):
-        first, now = None, None
+        none = object()
+        now = none
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 value = f(split(made, ranks, k + 1))
-                first, now = (k + 1, value) if first is None else (first, do(now, value))
-        if first is not None:
-            yield pa.RecordBatch.from_pydict({"rank": pa.array([first], pa.int64()), "part": pa.array([pickle.dumps(now, 5)], pa.binary())})
+                now = value if now is none else do(now, value)
+        if now is not none:
+            yield pa.RecordBatch.from_pydict({"place": pa.array([TaskContext.get().partitionId()], pa.int64()), "part": pa.array([pickle.dumps(now, 5)], pa.binary())})
 
-    parts = checkpointed(spark.range(0, ranks, 1, tasks).mapInArrow(local, "rank long, part binary"))
+    def merge(table):
+        table = table.sort_by("place")
+        now = pickle.loads(table.column("part")[0].as_buffer())
+        for k in range(1, len(table)):
+            now = do(now, pickle.loads(table.column("part")[k].as_buffer()))
+        return pa.table({"place": pa.array([table.column("place")[0].as_py() // fan], pa.int64()), "part": pa.array([pickle.dumps(now, 5)], pa.binary())})
+
+    # Places of tasks follow each other without gaps, and so do those of their merged neighbours.
+    parts = checkpointed(spark.range(0, ranks, 1, tasks).mapInArrow(local, "place long, part binary"))
     left, size = parts.agg(F.count("*"), F.max(F.octet_length("part"))).first()
     fan = max(2, min(FAN_IN, MERGE_BYTES // max(1, size)))
-    run = _fold_rows(do)
     while left > 1:
-        def merge(table):
-            batch = table.sort_by("rank").select(["rank", "part"]).to_batches(1)
-            return pa.Table.from_batches(list(run(iter(batch)))).rename_columns(["rank", "part"])
-
-        order = R.number_rows(parts, ["rank"], "n").df
-        parts = checkpointed(order.groupBy(F.floor((F.col("n") - 1) / fan).alias("g")).applyInArrow(lambda t: merge(t.select(["rank", "part"])), "rank long, part binary"))
+        parts = checkpointed(parts.groupBy(F.floor(F.col("place") / fan).alias("g")).applyInArrow(merge, "place long, part binary"))
         left = -(-left // fan)
-    value = pickle.loads(bytes(parts.first().part))
+    value = pickle.loads(parts.select("part").toArrow().column(0)[0].as_buffer())
     value = value if init is None else do(init, value)
     return value.filled() if isinstance(value, Box) else value
 
